@@ -30,3 +30,21 @@ def register(name: str, oracle: str | None = None):
         return fn
 
     return deco
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round every double column and widen int columns to bigint, so results
+    compare exactly with the oracle (sums of doubles differ in the last bits by
+    summation order; DuckDB integer arithmetic is 64-bit)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import DoubleType, FloatType, IntegerType, ShortType
+
+    cols = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (DoubleType, FloatType)):
+            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+        elif isinstance(f.dataType, (IntegerType, ShortType)):
+            cols.append(F.col(f.name).cast("bigint").alias(f.name))
+        else:
+            cols.append(F.col(f.name))
+    return df.select(*cols)
