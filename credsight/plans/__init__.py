@@ -1,4 +1,4 @@
 """Query plans over the driver tables; importing this package fills the registry."""
 
-from . import features, scoring  # noqa: F401
+from . import evaluate, features, scoring  # noqa: F401
 from .catalog import ORACLES, QUERIES  # noqa: F401
