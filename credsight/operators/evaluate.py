@@ -120,14 +120,15 @@ def threshold_sweep(df: DataFrame, thresholds: list[float], y: str = "y_true", p
     # Suffix sums over at most K+1 buckets: predicted positive at threshold k
     # iff bucket >= k.  Both sides are tiny (K <= 100 rows), so this small
     # inequality join is bounded.
-    tot = b.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    big_p = b.agg(F.coalesce(F.sum("pos"), F.lit(0))).scalar()
+    big_n = b.agg(F.coalesce(F.sum("neg"), F.lit(0))).scalar()
     joined = (F.broadcast(grid).join(b, F.col("bucket") >= F.col("k"), "left")
               .groupBy("k", "threshold")
               .agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("neg"), F.lit(0)).alias("fp")))
-    out = joined.join(F.broadcast(tot), how="inner")
-    out = out.select("k", "threshold", F.col("tp").cast("bigint").alias("tp"), F.col("fp").cast("bigint").alias("fp"),
-                     (F.coalesce(F.col("P"), F.lit(0)) - F.col("tp")).cast("bigint").alias("fn"),
-                     (F.coalesce(F.col("N"), F.lit(0)) - F.col("fp")).cast("bigint").alias("tn"))
+    out = joined.select("k", "threshold", F.col("tp").cast("bigint").alias("tp"),
+                        F.col("fp").cast("bigint").alias("fp"),
+                        (big_p - F.col("tp")).cast("bigint").alias("fn"),
+                        (big_n - F.col("fp")).cast("bigint").alias("tn"))
     assert k > 0
     return out.withColumns(metric_columns(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")))
 
@@ -271,7 +272,9 @@ def model_compare(metrics: DataFrame, baseline: str) -> DataFrame:
     """M9: deltas of every model against a baseline model and the meaningful flag."""
     b = metrics.filter(F.col("model") == baseline).select(
         *[F.col(c).alias(f"b_{c}") for c in metrics.columns])
-    j = metrics.filter(F.col("model") != baseline).join(F.broadcast(b), how="inner")
+    # The baseline side is exactly one row (one model): a bounded broadcast.
+    j = metrics.filter(F.col("model") != baseline).withColumn("_one", F.lit(1)).join(
+        F.broadcast(b.withColumn("_one", F.lit(1))), "_one").drop("_one")
     d = {f"d_{c}": F.col(c) - F.col(f"b_{c}") for c in
          ["roc_auc", "recall", "f1_score", "accuracy", "precision", "estimated_business_loss"]}
     d["d_fp"] = F.col("fp") - F.col("b_fp")

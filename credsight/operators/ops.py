@@ -74,7 +74,7 @@ def validate_actions(actions: DataFrame, key: str = "assessment_id", ts: str = "
            .when((F.col("action") == "override") & code_blank, "reason_code_required")
            .when((F.col("action") == "override") & ~F.array_contains(codes, F.col("reason_code")),
                  "invalid_reason_code"))
-    return j.drop("_first").withColumn("error_code", err).withColumn("valid", err.isNull())
+    return j.withColumn("error_code", err).drop("_first").withColumn("valid", F.col("error_code").isNull())
 
 
 def window_start(now: Column, days: int) -> Column:
@@ -91,8 +91,8 @@ def ops_kpis(decisions: DataFrame, fairness_gap: DataFrame, now: Column, window_
               F.count(act).alias("actioned"), F.count_if(act == "override").alias("overrides"),
               F.count_if(act == "accept").alias("accepts"),
               F.avg("estimated_cost_usd").alias("avg_cost"))
-    gap = fairness_gap.agg(F.coalesce(F.max("max_delta_pp"), F.lit(0.0)).alias("fairness_gap_pp"))
-    k = k.join(gap, how="inner")
+    gap = fairness_gap.agg(F.coalesce(F.max("max_delta_pp"), F.lit(0.0))).scalar()
+    k = k.withColumn("fairness_gap_pp", gap)
     cost = F.coalesce(F.round(F.col("avg_cost"), 6), F.lit(0.0))
     acc = F.when(F.col("actioned") > 0, F.bround(F.col("accepts") / F.col("actioned"), 4))
     ovr = F.when(F.col("actioned") > 0, F.bround(F.col("overrides") / F.col("actioned"), 4))
@@ -185,15 +185,17 @@ def pilot_summary(reviews: DataFrame, value: str = "review_min") -> DataFrame:
     """Acceptance rate (4 places), median review (1 place) and the override
     reasons ranked by count (ties by first appearance is not defined: by reason)."""
     k = reviews.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("action") == "accept").alias("accepts"))
-    med = median_exact(reviews, value)
+    med = median_exact(reviews, value).select("median").scalar()
+    # One entry per distinct reason code (a short, closed list): bounded.
     reasons = (reviews.filter(F.col("action") == "override").groupBy("reason_code").agg(F.count(F.lit(1)).alias("n"))
-               .agg(F.sort_array(F.collect_list(F.struct(-F.col("n"), F.col("reason_code"))))
-                    .alias("r")))  # one row per distinct reason code: a small, bounded list
-    out = k.join(med, how="inner").join(reasons, how="inner")
-    return out.select("total", F.bround(F.col("accepts") / F.col("total"), 4).alias("acceptance_rate"),
-                      F.bround(F.col("median"), 1).alias("median_review"),
-                      F.transform("r", lambda s: F.struct(s["reason_code"].alias("reason_code"),
-                                                          (-s["col1"]).alias("count"))).alias("override_reasons"))
+               .agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg_n"),
+                                                             F.col("reason_code").isNull().alias("_null"),
+                                                             F.col("reason_code"))))
+                    .alias("r"))
+               .select(F.transform("r", lambda s: F.struct(s["reason_code"].alias("reason_code"),
+                                                           (-s["neg_n"]).alias("count")))).scalar())
+    return k.select("total", F.bround(F.col("accepts") / F.col("total"), 4).alias("acceptance_rate"),
+                    F.bround(med, 1).alias("median_review"), reasons.alias("override_reasons"))
 
 
 # ------------------------------------------------------------ P1 / A29
@@ -245,6 +247,7 @@ def missing_profile(profiles: DataFrame) -> DataFrame:
     fields = (profiles.filter(F.col("missing_fields").isNotNull())
               .select(F.explode(F.split("missing_fields", ",")).alias("field"))
               .groupBy("field").agg(F.count(F.lit(1)).alias("n_missing")))
-    return fields.join(total, how="inner").select(
-        "field", "n_missing", "n_rows", "n_incomplete",
-        F.round(F.col("n_incomplete") / F.col("n_rows"), 6).alias("incomplete_share"))
+    n_rows = total.select("n_rows").scalar()
+    n_inc = total.select("n_incomplete").scalar()
+    return fields.select("field", "n_missing", n_rows.alias("n_rows"), n_inc.alias("n_incomplete"),
+                         F.round(n_inc / n_rows, 6).alias("incomplete_share"))
