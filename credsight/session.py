@@ -74,3 +74,10 @@ def round6(c: Column) -> Column:
 
 def add_columns(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return df.withColumns(cols)
+
+
+def fresh_scratch(spark: SparkSession, name: str) -> str:
+    """A new, unique folder under the shared checkpoint folder (never reused)."""
+    import uuid
+
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
