@@ -1,4 +1,4 @@
 """Query plans over the driver tables; importing this package fills the registry."""
 
-from . import evaluate, fairness, features, landing, ops, policy, retrieval, scoring  # noqa: F401
+from . import evaluate, fairness, features, landing, ops, policy, privacy_audit, retrieval, scoring  # noqa: F401
 from .catalog import ORACLES, QUERIES  # noqa: F401
