@@ -10,9 +10,10 @@ Scale notes
   are a ``groupBy`` (partial aggregation collapses repeated terms map-side),
   document frequencies another, the L2 norm is a window per document (bounded
   by one document's length).
-* Scoring is an inverted-index equi-join on (version, term).  The query side is
-  broadcast only after its row count is checked against a limit; beyond it the
-  join shuffles and AQE splits hot terms.  No query x clause cross product:
+* Scoring is an inverted-index equi-join on (version, term).  AQE picks a
+  broadcast at runtime only when a side's measured size is small; otherwise
+  it shuffles and splits hot terms.  Explicit broadcasts are used only on raw
+  inputs whose row count was checked first (query vectors in R4, passages).  No query x clause cross product:
   only pairs sharing a term are ever produced.
 * Top-k per query is two-phase: top-k inside (query, salt) sub-groups, then
   top-k of those few survivors, so one query's huge candidate set never sorts
@@ -137,16 +138,24 @@ def query_vectors(queries: DataFrame, idf: DataFrame, qkey: str = "query_id", ve
     return w.select(qkey, version, "term", (F.col("_w") / norm).alias("qweight"))
 
 
-def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast only a side whose size was checked; otherwise leave it to a shuffle join."""
-    return F.broadcast(df) if df.count() <= limit else df
+def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_MAX_ROWS, sized: DataFrame | None = None) -> DataFrame:
+    """Broadcast ``df`` only when the row count of ``sized`` (a cheap raw input
+    that bounds it, default ``df`` itself) is within ``limit``; otherwise leave
+    the join to a shuffle."""
+    return F.broadcast(df) if (sized if sized is not None else df).count() <= limit else df
 
 
 def tfidf_scores(qv: DataFrame, index: DataFrame, qkey: str = "query_id", version: str = "corpus_version",
                  key: str = "clause_id", extra: list[str] | None = None) -> DataFrame:
-    """Cosine similarity of every (query, clause) pair that shares a term."""
+    """Cosine similarity of every (query, clause) pair that shares a term.
+
+    No static hint: both sides are derived (exploded) tables whose size the
+    planner cannot bound up front, and counting them would run the tokenizer
+    twice.  AQE measures the shuffle output at runtime and turns the join into
+    a broadcast only when one side really is small; otherwise it stays a
+    shuffle join with skew splitting."""
     extra = list(extra or [])
-    j = index.join(_maybe_broadcast(qv), [version, "term"])
+    j = index.join(qv, [version, "term"])
     return j.groupBy(qkey, version, key, *extra).agg(F.sum(F.col("weight") * F.col("qweight")).alias("score"))
 
 
@@ -189,7 +198,7 @@ def vector_topk(queries: DataFrame, items: DataFrame, qkey: str = "query_id", ke
     The query side is broadcast behind a size check (items are streamed, so a
     hot payload value causes no shuffle skew)."""
     q = queries.select(qkey, F.col(payload).alias("_p"), F.col(vec).alias("_qv"))
-    j = items.join(_maybe_broadcast(q), items[payload] == F.col("_p"))
+    j = items.join(_maybe_broadcast(q, sized=queries), items[payload] == F.col("_p"))
     sc = j.select(qkey, key, cosine(F.col(vec), F.col("_qv")).alias("score")).filter(F.col("score") >= floor)
     sc = sc.withColumn("_rs", F.round("score", 12))
     top = topk(sc, [qkey], [F.desc("_rs"), F.asc(key)], top_k, salt_on=key).drop("_rs")
@@ -285,7 +294,7 @@ def containing_docs(passages: DataFrame, docs: DataFrame, pkey: str = "item_id",
     d = spread(docs.select(dkey, F.col(dtext).alias("_dtext"))).withColumn("_dt", raw("_dtext"))
     d = d.select(dkey, "_dtext", F.explode_outer(F.array_distinct(shingles(F.col("_dt")))).alias("sh")) \
         .filter(F.col("sh").isNotNull())
-    cand = d.join(_maybe_broadcast(p), "sh").select(pkey, dkey, "_ptext", "_dtext").distinct()
+    cand = d.join(_maybe_broadcast(p, sized=passages), "sh").select(pkey, dkey, "_ptext", "_dtext").distinct()
     return cand.filter(F.contains(F.col("_dtext"), F.col("_ptext"))).select(pkey, dkey)
 
 
