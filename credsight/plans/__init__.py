@@ -1,4 +1,4 @@
 """Query plans over the driver tables; importing this package fills the registry."""
 
-from . import decision, evaluate, fairness, features, landing, model, ops, policy, privacy_audit, retrieval, scoring  # noqa: F401
+from . import decision, evaluate, fairness, features, landing, model, ops, policy, privacy_audit, retrieval, scoring, streaming  # noqa: F401
 from .catalog import ORACLES, QUERIES  # noqa: F401
