@@ -143,7 +143,7 @@ def _table(status: Column, band: Column) -> Column:
     return F.coalesce(m[key], F.lit("Refer"))
 
 
-def decision_cascade(j: DataFrame) -> DataFrame:
+def decision_cascade(j: DataFrame, with_evidence: bool = True) -> DataFrame:
     """D3: ordered gates, the (check status, band) table, then the policy and
     document downgrades and the escalation reason; plus D4 and the outputs."""
     st, band = F.col("regulatory_status"), F.col("risk_band")
@@ -180,7 +180,7 @@ def decision_cascade(j: DataFrame) -> DataFrame:
         "rule_applied": F.when(F.col("kill_switch_reason").isNotNull(), F.lit("kill_switch"))
         .otherwise(F.concat(F.coalesce(st, F.lit("None")), F.lit("+"), F.coalesce(band, F.lit("None")))),
     }).drop("_gate")
-    return j.withColumn("evidence", evidence_struct())
+    return j.withColumn("evidence", evidence_struct()) if with_evidence else j
 
 
 def evidence_struct() -> Column:
