@@ -1,4 +1,6 @@
 """Query plans over the driver tables; importing this package fills the registry."""
 
-from . import decision, evaluate, fairness, features, landing, model, ops, policy, privacy_audit, retrieval, scoring, streaming  # noqa: F401
+from . import scoring, features, evaluate, fairness, ops, landing, policy, retrieval  # noqa: F401,I001
+from . import privacy_audit, decision, model  # noqa: F401
+from . import streaming, extras  # noqa: F401  (reuse oracles registered above)
 from .catalog import ORACLES, QUERIES  # noqa: F401
