@@ -39,13 +39,13 @@ N_CHECKS = len(PO.CHECKS)
 def retrieve_clauses(apps: DataFrame, book: DataFrame, top_k: int = RT.TOP_K) -> DataFrame:
     """Per application: the retrieved clauses (rank order) for its scheme, as an
     array of <= k structs, and the failure flag.  The book is one version."""
-    index, idf = RT.tfidf_index(book, text="index_text", extra=["scheme", "clause_pos"])
+    parts = RT.tfidf_parts(book, text="index_text", extra=["scheme", "clause_pos"])
     q = apps.select(F.col("application_id").cast("string").alias("query_id"),
                     F.lit(POLICY_VERSION).alias("corpus_version"),
                     F.coalesce(F.col("loan_scheme"), F.lit(DEFAULT_SCHEME)).alias("scheme"),
                     RT.render_query(F.col("amt_credit"), F.col("amt_income_total"), F.col("amt_annuity"),
                                     F.col("days_employed"), F.col("region_rating_client")).alias("query"))
-    r = RT.retrieve(q, index, idf, top_k=top_k)
+    r = RT.retrieve(q, parts, top_k=top_k)
     per = r.groupBy("query_id", "corpus_version").agg(
         F.sort_array(F.collect_list(F.when(~F.col("retrieval_failed"), F.struct(
             F.col("rank"), F.col("clause_id"), F.col("score"))))).alias("hits"),   # at most k per application
@@ -71,6 +71,7 @@ def assess_batch(apps: DataFrame, docs: DataFrame, book: DataFrame, pauses: Data
                  force_regulatory_fail: bool = False) -> DataFrame:
     """One recommendation with its full evidence per application."""
     scheme = F.coalesce(F.col("loan_scheme"), F.lit(DEFAULT_SCHEME))
+    apps = RT.spread(apps)           # CPU-heavy per-row work: use every core even on an under-split scan
     base = apps.select("application_id", "external_id", scheme.alias("scheme"), "amt_income_total", "amt_credit",
                        "amt_annuity", "days_employed", "region_rating_client", "loan_scheme")
     # Model score when given, else the rule score.

@@ -109,10 +109,11 @@ def topk(df: DataFrame, keys: list[str], order: list[Column], k: int, salts: int
 
 # ------------------------------------------------------------------ R1
 
-def tfidf_index(corpus: DataFrame, version: str = "corpus_version", key: str = "clause_id",
-                text: str = "text", extra: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Returns (index, idf).  index = (version, key, *extra, term, weight) with
-    L2-normalised tf * (ln((1+n)/(1+df)) + 1); idf = (version, term, idf)."""
+def tfidf_parts(corpus: DataFrame, version: str = "corpus_version", key: str = "clause_id",
+                text: str = "text", extra: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """R1 building blocks: term frequencies (version, key, *extra, term, tf),
+    idf (version, term, idf) with ln((1+n)/(1+df)) + 1, and the L2 norm of
+    every clause vector (version, key, norm) -- an aggregate, not a window."""
     extra = list(extra or [])
     docs = with_terms(spread(corpus.select(version, key, *extra, text)), text).drop(text)
     n_docs = docs.groupBy(version).agg(F.count(F.lit(1)).alias("_n"))
@@ -123,8 +124,19 @@ def tfidf_index(corpus: DataFrame, version: str = "corpus_version", key: str = "
     idf = dfreq.join(F.broadcast(n_docs), version).select(
         version, "term", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = tf.join(idf, [version, "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(version, key)))
-    index = w.select(version, key, *extra, "term", (F.col("_w") / norm).alias("weight"))
+    norms = w.groupBy(version, key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("norm"))
+    return tf, idf, norms
+
+
+def tfidf_index(corpus: DataFrame, version: str = "corpus_version", key: str = "clause_id",
+                text: str = "text", extra: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Returns (index, idf).  index = (version, key, *extra, term, weight) with
+    L2-normalised tf * idf.  Retrieval itself uses ``tfidf_parts`` and never
+    materialises this full table."""
+    extra = list(extra or [])
+    tf, idf, norms = tfidf_parts(corpus, version, key, text, extra)
+    w = tf.join(idf, [version, "term"]).join(norms, [version, key])
+    index = w.select(version, key, *extra, "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
     return index, idf
 
 
@@ -135,7 +147,7 @@ def query_vectors(queries: DataFrame, idf: DataFrame, qkey: str = "query_id", ve
     tf = q.groupBy(qkey, version, "term").agg(F.count(F.lit(1)).alias("tf"))
     w = tf.join(idf, [version, "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(qkey, version)))
-    return w.select(qkey, version, "term", (F.col("_w") / norm).alias("qweight"))
+    return w.select(qkey, version, "term", "idf", (F.col("_w") / norm).alias("qweight"))
 
 
 def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_MAX_ROWS, sized: DataFrame | None = None) -> DataFrame:
@@ -145,28 +157,32 @@ def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_MAX_ROWS, sized: Data
     return F.broadcast(df) if (sized if sized is not None else df).count() <= limit else df
 
 
-def tfidf_scores(qv: DataFrame, index: DataFrame, qkey: str = "query_id", version: str = "corpus_version",
-                 key: str = "clause_id", extra: list[str] | None = None) -> DataFrame:
+def tfidf_scores(qv: DataFrame, parts: tuple[DataFrame, DataFrame, DataFrame], qkey: str = "query_id",
+                 version: str = "corpus_version", key: str = "clause_id",
+                 extra: list[str] | None = None) -> DataFrame:
     """Cosine similarity of every (query, clause) pair that shares a term.
 
-    No static hint: both sides are derived (exploded) tables whose size the
-    planner cannot bound up front, and counting them would run the tokenizer
-    twice.  AQE measures the shuffle output at runtime and turns the join into
-    a broadcast only when one side really is small; otherwise it stays a
-    shuffle join with skew splitting."""
+    Only the postings of query terms are touched: tf joins the query vectors on
+    (version, term), each posting is weighted tf * idf / norm (the clause norm
+    joins by clause), and the products are summed per pair.  No static
+    broadcast hint: AQE measures the query side at runtime and broadcasts it
+    only when it really is small; otherwise the join shuffles with skew
+    splitting."""
     extra = list(extra or [])
-    j = index.join(qv, [version, "term"])
-    return j.groupBy(qkey, version, key, *extra).agg(F.sum(F.col("weight") * F.col("qweight")).alias("score"))
+    tf, _, norms = parts
+    j = tf.join(qv, [version, "term"]).join(norms, [version, key])
+    weight = F.col("tf") * F.col("idf") / F.col("norm")
+    return j.groupBy(qkey, version, key, *extra).agg(F.sum(weight * F.col("qweight")).alias("score"))
 
 
-def retrieve(queries: DataFrame, index: DataFrame, idf: DataFrame, qkey: str = "query_id",
+def retrieve(queries: DataFrame, parts: tuple[DataFrame, DataFrame, DataFrame], qkey: str = "query_id",
              version: str = "corpus_version", key: str = "clause_id", scheme: str = "scheme",
              position: str = "clause_pos", top_k: int = TOP_K, floor: float = FAILURE_FLOOR) -> DataFrame:
     """R2 + W3: per query (with optional scheme) the top-k clauses scoring >= floor,
     ties in corpus order; a query with no such clause (unknown scheme, or best
     below the floor) gets one row with ``retrieval_failed``."""
-    qv = query_vectors(queries, idf, qkey, version)
-    sc = tfidf_scores(qv, index, qkey, version, key, extra=[scheme, position])
+    qv = query_vectors(queries, parts[1], qkey, version)
+    sc = tfidf_scores(qv, parts, qkey, version, key, extra=[scheme, position])
     qs = queries.select(qkey, version, F.col(scheme).alias("_qscheme"))
     sc = sc.join(qs, [qkey, version]).filter(F.col("_qscheme").isNull() | (F.col(scheme) == F.col("_qscheme")))
     sc = sc.filter(F.col("score") >= floor).drop("_qscheme")

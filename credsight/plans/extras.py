@@ -15,7 +15,7 @@ from ..sources import landing as L
 from .catalog import ORACLES, register, rounded
 from .decision import _d1_oracle, decisions
 from .privacy_audit import events
-from .retrieval import _index, _index_sql, _retrieve_sql, _Q_ALL, _CORPUS_ACTIVE, ACTIVE, bench_queries
+from .retrieval import _parts, _index_sql, _retrieve_sql, _Q_ALL, _CORPUS_ACTIVE, ACTIVE, bench_queries
 from .views import cte
 
 _AGE_SQL = """CASE WHEN days_birth IS NULL THEN NULL WHEN abs(days_birth) / 365.25 < 30 THEN 'under_30'
@@ -115,9 +115,9 @@ def j3(t):
 SELECT query_id, count(*) AS n_candidates, round(max(score), 6) AS best_score FROM sc GROUP BY query_id""")
 def j6(t):
     """Query x clause candidates through the term join (pairs sharing a term only)."""
-    idx, idf = _index(t)
+    parts = _parts(t)
     q = bench_queries(t, per_scheme=False).withColumn("corpus_version", F.lit(ACTIVE))
-    sc = RT.tfidf_scores(RT.query_vectors(q, idf), idx, extra=["scheme", "clause_pos"])
+    sc = RT.tfidf_scores(RT.query_vectors(q, parts[1]), parts, extra=["scheme", "clause_pos"])
     return rounded(sc.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"),
                                               F.max("score").alias("best_score")))
 

@@ -113,6 +113,10 @@ def _index(t, versions=(ACTIVE,)):
     return RT.tfidf_index(corpus(t, versions), extra=["scheme", "clause_pos"])
 
 
+def _parts(t, versions=(ACTIVE,)):
+    return RT.tfidf_parts(corpus(t, versions), extra=["scheme", "clause_pos"])
+
+
 @register("R1_tfidf_index", "WITH " + _index_sql(_CORPUS_ACTIVE) + """
 SELECT clause_id, count(*) AS n_terms, round(sum(weight * weight), 6) AS sum_sq, round(max(weight), 6) AS max_weight
 FROM idx GROUP BY clause_id""")
@@ -128,18 +132,16 @@ def r1(t):
           + "SELECT * FROM res")
 def r2(t):
     """R2 + W3: every benchmark query against every scheme (and unfiltered), top 3."""
-    idx, idf = _index(t)
     q = bench_queries(t, per_scheme=True).withColumn("corpus_version", F.lit(ACTIVE))
-    return RT.retrieve(q, idx, idf)
+    return RT.retrieve(q, _parts(t))
 
 
 @register("W3_topk_clauses", "WITH " + _index_sql(_CORPUS_ACTIVE) + _retrieve_sql(_Q_ALL) + """
 SELECT query_id, rank, clause_id, score FROM res WHERE NOT retrieval_failed""")
 def w3(t):
     """The ranked top-3 list per query over the whole corpus (ties in corpus order)."""
-    idx, idf = _index(t)
     q = bench_queries(t, per_scheme=False).withColumn("corpus_version", F.lit(ACTIVE))
-    r = RT.retrieve(q, idx, idf)
+    r = RT.retrieve(q, _parts(t))
     return r.filter(~F.col("retrieval_failed")).select("query_id", F.col("rank").cast("bigint").alias("rank"),
                                                         "clause_id", "score")
 
@@ -148,10 +150,9 @@ def w3(t):
           + "SELECT * FROM res")
 def r3(t):
     """The same queries replayed against the active and the older corpus version."""
-    idx, idf = _index(t, (ACTIVE, OLD))
     q = bench_queries(t, per_scheme=False)
     q = q.select("*", F.explode(F.array(F.lit(ACTIVE), F.lit(OLD))).alias("corpus_version"))
-    return RT.retrieve(q, idx, idf)
+    return RT.retrieve(q, _parts(t, (ACTIVE, OLD)))
 
 
 @register("A28_corpus_metadata", f"""WITH c AS ({_CORPUS_BOTH})
@@ -178,9 +179,8 @@ FROM res r JOIN corpus c ON r.corpus_version = c.corpus_version AND r.clause_id
 WHERE r.rank = 1""")
 def f15(t):
     """fetch the top-1 clause of every query by (version, id) for citation."""
-    idx, idf = _index(t)
     q = bench_queries(t, per_scheme=False).withColumn("corpus_version", F.lit(ACTIVE))
-    top1 = RT.retrieve(q, idx, idf).filter(F.col("rank") == 1)
+    top1 = RT.retrieve(q, _parts(t)).filter(F.col("rank") == 1)
     got = RT.clause_lookup(corpus(t), top1)
     return got.select("corpus_version", "clause_id", "scheme", F.length("text").cast("bigint").alias("text_chars"))
 
@@ -215,9 +215,8 @@ FROM m""")
 def a26(t):
     """Benchmark passages found verbatim in documents label the expected
     clause(s); retrieval over the whole corpus is scored against them."""
-    idx, idf = _index(t)
     q = bench_queries(t, per_scheme=False).withColumn("corpus_version", F.lit(ACTIVE))
-    res = RT.retrieve(q, idx, idf)
+    res = RT.retrieve(q, _parts(t))
     exp = RT.containing_docs(t.benchmark, t.documents).select(
         F.concat(F.col("item_id").cast("string"), F.lit(":*")).alias("query_id"),
         F.col("doc_id").alias("clause_id"))
@@ -278,9 +277,8 @@ SELECT query_id, rank, clause_id, score, retrieval_failed, 'tfidf' AS backend FR
 def r6(t):
     """Benchmark queries have no embeddings, so the vector backend fails for
     every one of them and each falls back to TF-IDF."""
-    idx, idf = _index(t)
     q = bench_queries(t, per_scheme=False).withColumn("corpus_version", F.lit(ACTIVE))
-    tf = RT.retrieve(q, idx, idf).select("query_id", "rank", F.col("clause_id"), "score", "retrieval_failed")
+    tf = RT.retrieve(q, _parts(t)).select("query_id", "rank", F.col("clause_id"), "score", "retrieval_failed")
     vec = q.select("query_id").withColumn("rank", F.lit(None).cast("int")).withColumn(
         "clause_id", F.lit(None).cast("bigint")).withColumn("score", F.lit(None).cast("double")) \
         .withColumn("retrieval_failed", F.lit(True))
