@@ -30,6 +30,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Fixed values that must equal the reference's.
 FAILURE_FLOOR = 0.05
 VECTOR_FLOOR = 0.35
@@ -116,16 +118,22 @@ def tfidf_parts(corpus: DataFrame, version: str = "corpus_version", key: str = "
     every clause vector (version, key, norm) -- an aggregate, not a window."""
     extra = list(extra or [])
     docs = with_terms(spread(corpus.select(version, key, *extra, text)), text).drop(text)
-    n_docs = docs.groupBy(version).agg(F.count(F.lit(1)).alias("_n"))
     occ = _explode_terms(docs, [version, key, *extra])
     tf = occ.groupBy(version, key, *extra, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # The postings, idf and norms together are the index: each feeds several
+    # consumers with different column sets (so Spark cannot reuse exchanges),
+    # hence each is written once as a parquet table in the shared folder.
+    tf = materialize(tf, "index-postings")
+    # n counts every clause, also one without any term (cheap: no text is read)
+    n_docs = corpus.groupBy(version).agg(F.count(F.lit(1)).alias("_n"))
     dfreq = tf.groupBy(version, "term").agg(F.count(F.lit(1)).alias("df"))
     # one row per corpus version: a bounded broadcast
     idf = dfreq.join(F.broadcast(n_docs), version).select(
         version, "term", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = materialize(idf, "index-idf")
     w = tf.join(idf, [version, "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
     norms = w.groupBy(version, key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("norm"))
-    return tf, idf, norms
+    return tf, idf, materialize(norms, "index-norms")
 
 
 def tfidf_index(corpus: DataFrame, version: str = "corpus_version", key: str = "clause_id",
@@ -182,6 +190,12 @@ def retrieve(queries: DataFrame, parts: tuple[DataFrame, DataFrame, DataFrame],
     ties in corpus order; a query with no such clause (unknown scheme, or best
     below the floor) gets one row with ``retrieval_failed``."""
     qv = query_vectors(queries, parts[1], qkey, version)
+    # Size check on a proven bound: query-vector rows <= query term occurrences,
+    # counted on the (small) query table alone.  Under the limit the query side
+    # is broadcast and the postings are streamed without a shuffle.
+    n_terms = queries.select(F.size(terms(tokens(F.col("query")))).alias("n")).agg(F.sum("n")).first()[0] or 0
+    if n_terms <= BROADCAST_MAX_ROWS:
+        qv = F.broadcast(qv)
     sc = tfidf_scores(qv, parts, qkey, version, key, extra=[scheme, position])
     qs = queries.select(qkey, version, F.col(scheme).alias("_qscheme"))
     sc = sc.join(qs, [qkey, version]).filter(F.col("_qscheme").isNull() | (F.col(scheme) == F.col("_qscheme")))

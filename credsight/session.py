@@ -81,3 +81,13 @@ def fresh_scratch(spark: SparkSession, name: str) -> str:
     import uuid
 
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a parquet table in a fresh folder under the shared
+    checkpoint folder and read it back: cuts the lineage (survives executor
+    loss), gives a columnar, pruned scan and real size statistics to the
+    planner."""
+    path = fresh_scratch(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
