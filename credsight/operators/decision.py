@@ -45,7 +45,7 @@ def retrieve_clauses(apps: DataFrame, book: DataFrame, top_k: int = RT.TOP_K) ->
                     F.coalesce(F.col("loan_scheme"), F.lit(DEFAULT_SCHEME)).alias("scheme"),
                     RT.render_query(F.col("amt_credit"), F.col("amt_income_total"), F.col("amt_annuity"),
                                     F.col("days_employed"), F.col("region_rating_client")).alias("query"))
-    r = RT.retrieve(q, parts, top_k=top_k)
+    r = RT.retrieve_small_corpus(q, parts, top_k=top_k)
     per = r.groupBy("query_id", "corpus_version").agg(
         F.sort_array(F.collect_list(F.when(~F.col("retrieval_failed"), F.struct(
             F.col("rank"), F.col("clause_id"), F.col("score"))))).alias("hits"),   # at most k per application

@@ -196,21 +196,59 @@ def retrieve(queries: DataFrame, parts: tuple[DataFrame, DataFrame, DataFrame],
     n_terms = queries.select(F.size(terms(tokens(F.col("query")))).alias("n")).agg(F.sum("n")).first()[0] or 0
     if n_terms <= BROADCAST_MAX_ROWS:
         qv = F.broadcast(qv)
+    return _rank(qv, queries.select(qkey, version, scheme), parts, qkey, version, key, scheme, position, top_k,
+                 floor)
+
+
+def _rank(qv: DataFrame, qmeta: DataFrame, parts, qkey, version, key, scheme, position, top_k, floor) -> DataFrame:
     sc = tfidf_scores(qv, parts, qkey, version, key, extra=[scheme, position])
-    qs = queries.select(qkey, version, F.col(scheme).alias("_qscheme"))
+    qs = qmeta.select(qkey, version, F.col(scheme).alias("_qscheme"))
     sc = sc.join(qs, [qkey, version]).filter(F.col("_qscheme").isNull() | (F.col(scheme) == F.col("_qscheme")))
     sc = sc.filter(F.col("score") >= floor).drop("_qscheme")
     # Equal vectors (duplicate clauses) must tie exactly whatever the summation
     # order, so ranking uses the score rounded far below any real difference.
     sc = sc.withColumn("_rs", F.round("score", 12))
     top = topk(sc, [qkey, version], [F.desc("_rs"), F.asc(position)], top_k, salt_on=key).drop("_rs")
-    out = queries.select(qkey, version, F.col(scheme).alias("query_scheme")).join(
+    out = qmeta.select(qkey, version, F.col(scheme).alias("query_scheme")).join(
         top.select(qkey, version, "rank", key, F.col(scheme).alias("clause_scheme"), "score"),
         [qkey, version], "left")
     return out.select(qkey, version, "query_scheme", "rank", key, "clause_scheme",
                       F.bround("score", 4).alias("score"), F.col(key).isNull().alias("retrieval_failed"))
 
 
+def retrieve_small_corpus(queries: DataFrame, parts: tuple[DataFrame, DataFrame, DataFrame],
+                          qkey: str = "query_id", version: str = "corpus_version", key: str = "clause_id",
+                          scheme: str = "scheme", position: str = "clause_pos", top_k: int = TOP_K,
+                          floor: float = FAILURE_FLOOR, max_vocab: int = 200_000) -> DataFrame:
+    """R2 for many queries against a small corpus (e.g. every application against
+    the policy book).  Only terms of the corpus vocabulary can score, so the
+    result depends on (version, scheme, multiset of in-vocabulary terms) alone:
+    those keys are deduplicated, retrieved once each and joined back.  Exact.
+    The vocabulary goes to the executors as a literal set, after a size check;
+    a larger vocabulary falls back to per-query retrieval."""
+    idf = parts[1]
+    if idf.count() > max_vocab:
+        return retrieve(queries, parts, qkey, version, key, scheme, position, top_k, floor)
+    vocab = [r[0] for r in idf.select("term").distinct().collect()]
+    qt = with_terms(queries.select(qkey, version, scheme, "query"), "query")
+    qt = qt.withColumn("_vt", F.array_sort(F.filter("_terms", lambda x: x.isin(vocab)))).drop("_terms", "query")
+    vkey = F.sha2(F.concat_ws("\u0001", F.col(version), F.coalesce(F.col(scheme), F.lit("\u0000")),
+                              F.array_join("_vt", "\u0002")), 256)
+    # read twice (distinct keys, join back): written once instead of tokenizing twice
+    qt = materialize(qt.withColumn("_vkey", vkey), "query-keys")
+    distinct = qt.groupBy("_vkey").agg(F.first(version).alias(version), F.first(scheme).alias(scheme),
+                                       F.first("_vt").alias("_vt"))
+    occ = distinct.select("_vkey", version, F.explode_outer("_vt").alias("term")).filter(F.col("term").isNotNull())
+    tf = occ.groupBy("_vkey", version, "term").agg(F.count(F.lit(1)).alias("tf"))
+    w = tf.join(F.broadcast(idf), [version, "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_vkey", version)))
+    qv = w.select(F.col("_vkey").alias(qkey), version, "term", "idf", (F.col("_w") / norm).alias("qweight"))
+    res = _rank(qv, distinct.select(F.col("_vkey").alias(qkey), version, scheme), parts, qkey, version, key, scheme,
+                position, top_k, floor)
+    res = res.withColumnRenamed(qkey, "_vkey")
+    return qt.select(qkey, "_vkey").join(res, "_vkey").drop("_vkey")
+
+
 # ------------------------------------------------------------------ R4 / R5 / F9 / R6
 
 def cosine(a: Column, b: Column) -> Column:
