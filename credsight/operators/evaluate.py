@@ -109,27 +109,27 @@ def threshold_sweep(df: DataFrame, thresholds: list[float], y: str = "y_true", p
     """A10: metrics at every threshold in one pass over the data.
 
     Returns one row per threshold: k (1-based), threshold, tp, fp, fn, tn and
-    the metric columns.  Assumes the thresholds ascend.
+    the metric columns.  Assumes the thresholds ascend.  The data is scanned
+    once; everything after the bucket count runs on at most K+1 rows (the
+    suffix sums are windows over that dense bucket table).
     """
     spark = df.sparkSession
     k = len(thresholds)
+    assert k > 0
     b = (df.select(threshold_bucket(F.col(p), thresholds).alias("bucket"), (F.col(y) == 1).alias("pos"))
          .groupBy("bucket").agg(F.count_if("pos").alias("pos"), F.count_if(~F.col("pos")).alias("neg")))
-    grid = spark.createDataFrame([(i + 1, float(t)) for i, t in enumerate(thresholds)],
-                                 "k int, threshold double")
-    # Suffix sums over at most K+1 buckets: predicted positive at threshold k
-    # iff bucket >= k.  Both sides are tiny (K <= 100 rows), so this small
-    # inequality join is bounded.
-    big_p = b.agg(F.coalesce(F.sum("pos"), F.lit(0))).scalar()
-    big_n = b.agg(F.coalesce(F.sum("neg"), F.lit(0))).scalar()
-    joined = (F.broadcast(grid).join(b, F.col("bucket") >= F.col("k"), "left")
-              .groupBy("k", "threshold")
-              .agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("tp"), F.coalesce(F.sum("neg"), F.lit(0)).alias("fp")))
-    out = joined.select("k", "threshold", F.col("tp").cast("bigint").alias("tp"),
-                        F.col("fp").cast("bigint").alias("fp"),
-                        (big_p - F.col("tp")).cast("bigint").alias("fn"),
-                        (big_n - F.col("fp")).cast("bigint").alias("tn"))
-    assert k > 0
+    grid = spark.createDataFrame([(i, float(thresholds[i - 1]) if i > 0 else None) for i in range(k + 1)],
+                                 "bucket int, threshold double")
+    dense = grid.join(b, "bucket", "left").select(
+        "bucket", "threshold", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("neg", F.lit(0)).alias("neg"))
+    # K+1 rows: these single-partition windows are bounded by the grid, not the data.
+    suffix = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = dense.select(
+        F.col("bucket").alias("k"), "threshold",
+        F.sum("pos").over(suffix).cast("bigint").alias("tp"), F.sum("neg").over(suffix).cast("bigint").alias("fp"),
+        (F.sum("pos").over(whole) - F.sum("pos").over(suffix)).cast("bigint").alias("fn"),
+        (F.sum("neg").over(whole) - F.sum("neg").over(suffix)).cast("bigint").alias("tn")).filter(F.col("k") >= 1)
     return out.withColumns(metric_columns(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")))
 
 
