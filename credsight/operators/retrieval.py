@@ -22,9 +22,7 @@ Scale notes
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
+import pkgutil
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,16 +46,10 @@ SALTS = 32
 
 @lru_cache(maxsize=1)
 def stop_words() -> tuple[str, ...]:
-    """Spark ML's default English stop words, read from the Spark ML jar that
-    ships with pyspark (no JVM needed, so the oracle can use the same list)."""
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for j in jars:
-        with zipfile.ZipFile(j) as z:
-            return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split())
-    from pyspark.ml.feature import StopWordsRemover
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+    """Spark ML's default English stop words, kept as a data file of the package
+    (needs neither a JVM nor the Spark jars, so the oracle can use the same list)."""
+    text = pkgutil.get_data("credsight", "data/english_stopwords.txt")
+    return tuple(text.decode("utf-8").split())
 
 
 def tokens(text: Column) -> Column:
