@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op2_byte_bpe
+from .chat import OP6_SQL, op6_chat_format
+from .mixing import op9_source_mix
+from .quality import op3_quality_rules
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_quality_rules": op3_quality_rules,
+    "op6_chat_format": op6_chat_format,
+    "op9_source_mix": op9_source_mix,
+}
+ORACLES: dict[str, str] = {
+    "op6_chat_format": OP6_SQL,
 }
-ORACLES: dict[str, str] = {}
