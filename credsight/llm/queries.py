@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op2_byte_bpe
 from .chat import OP6_SQL, op6_chat_format
+from .minhash import OP7_SQL, op7_minhash_near_dedup
 from .mixing import op9_source_mix
 from .quality import op3_quality_rules
 
@@ -11,8 +12,10 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op6_chat_format": op6_chat_format,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_source_mix": op9_source_mix,
 }
 ORACLES: dict[str, str] = {
     "op6_chat_format": OP6_SQL,
+    "op7_minhash_near_dedup": OP7_SQL,
 }
