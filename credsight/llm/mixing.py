@@ -41,23 +41,12 @@ def n_words(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(C.WORD), 0)).cast("bigint")
 
 
-def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """``df`` with the 0-based position of each row in the total order ``order``: range
-    slices, a count per slice, and a position inside the slice."""
-    sliced = materialize(df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), "slices")
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = sliced.groupBy("_slice").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("_slice").orderBy(*order)) - 1
-    return (sliced.withColumn("_at", inside).join(F.broadcast(counts.select("_slice", "_before")), "_slice")
-            .withColumn(out, (F.col("_before") + F.col("_at")).cast("bigint")).drop("_slice", "_before", "_at"))
-
-
 def targets(per_source: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """Columns source, source_size -> also source_id (position) and target."""
     order = [F.col("source").asc_nulls_last()]
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
                           (F.col("source_id") % len(weights) + 1).cast("int"))
-    s = (ranked(per_source, order, "source_id").withColumn("w", weight)
+    s = (C.ranked(per_source, order, "source_id").withColumn("w", weight)
          .withColumn("most", F.col("source_size") * F.lit(float(cap))))
     s = materialize(s, "sources")
     budget = share * (s.agg(F.sum("source_size")).first()[0] or 0)
