@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .bpe import op2_byte_bpe
 from .chat import OP6_SQL, op6_chat_format
 from .fingerprint import op8_order_minhash
@@ -24,6 +26,7 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_source_mix": op9_source_mix,
     "op10_language_id": op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
@@ -31,3 +34,5 @@ ORACLES: dict[str, str] = {
     "op6_chat_format": OP6_SQL,
     "op7_minhash_near_dedup": OP7_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
