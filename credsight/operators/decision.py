@@ -213,8 +213,9 @@ def audit_events(decisions: DataFrame) -> DataFrame:
     """Two events per decision, the external check call then the decision."""
     from .audit import canonical_json
     ext = canonical_json({"service": F.lit("regulatory"), "status": F.col("regulatory_status"),
-                          "checks": F.col("checks")})
-    dec = canonical_json({"recommendation": F.col("recommendation"), "evidence_chain": F.col("evidence")})
+                          "checks": F.col("checks")}, kinds={"checks": decisions.schema["checks"].dataType})
+    dec = canonical_json({"recommendation": F.col("recommendation"), "evidence_chain": F.col("evidence")},
+                         kinds={"evidence_chain": decisions.schema["evidence"].dataType})
     return decisions.select("application_id", F.inline(F.array(
         F.struct(F.lit(1).alias("seq"), F.lit("external_call").alias("event_type"), ext.alias("payload_json")),
         F.struct(F.lit(2).alias("seq"), F.lit("decision").alias("event_type"), dec.alias("payload_json")))))

@@ -132,12 +132,12 @@ def override_rate(decisions: DataFrame, now: Column, days: int = 7, action_ts: s
                     .otherwise(F.lit(0.0)).alias("override_rate"))
 
 
-def value_prefix(df: DataFrame, value: str, by: list[str] | None = None, slices: int = 64) -> DataFrame:
+def value_prefix(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Per (group, distinct value): cnt, rows below it in the group, group total.
     Range-partitioned two-level prefix: no group is sorted in a single task."""
     by = list(by or [])
     g = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
-    g = g.repartitionByRange(slices, "v").withColumn("slice", F.spark_partition_id())
+    g = g.repartitionByRange("v").withColumn("slice", F.spark_partition_id())
     ensure_checkpoint_dir(df.sparkSession)
     g = g.checkpoint(eager=True)          # one scan, stable slices for both passes
     win = Window.partitionBy(*by, "slice").orderBy("v")
@@ -234,7 +234,7 @@ def normalize_application(raw: DataFrame) -> DataFrame:
         nz("OCCUPATION_TYPE").alias("occupation_type"), nz("CODE_GENDER").alias("code_gender"),
         *[v.alias(k) for k, v in num.items()], *[v.alias(k) for k, v in days.items()],
         missing.alias("_missing"),
-        F.to_json(F.struct(*[F.col(c) for c in raw.columns])).alias("raw_row_json"))
+        F.to_json(F.struct(*[F.col(c) for c in raw.columns]), {"ignoreNullFields": "false"}).alias("raw_row_json"))
     return out.select("*", F.when(F.size("_missing") > 0, "INCOMPLETE").otherwise("COMPLETE").alias("status"),
                       F.when(F.size("_missing") > 0, F.array_join("_missing", ",")).alias("missing_fields")) \
         .drop("_missing")

@@ -12,8 +12,7 @@ Scale notes
   by one document's length).
 * Scoring is an inverted-index equi-join on (version, term).  AQE picks a
   broadcast at runtime only when a side's measured size is small; otherwise
-  it shuffles and splits hot terms.  Explicit broadcasts are used only on raw
-  inputs whose row count was checked first (query vectors in R4, passages).  No query x clause cross product:
+  it shuffles and splits hot terms.  No query x clause cross product:
   only pairs sharing a term are ever produced.
 * Top-k per query is two-phase: top-k inside (query, salt) sub-groups, then
   top-k of those few survivors, so one query's huge candidate set never sorts
@@ -40,7 +39,6 @@ FAILURE_RATE_CEILING = 0.05
 # Word characters as Python's ``\w`` sees them (letters, digits, underscore),
 # written so Java and RE2 agree; runs of two or more are tokens.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
-BROADCAST_MAX_ROWS = 2_000_000
 SALTS = 32
 
 
@@ -67,11 +65,11 @@ def terms(tok: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Text work is CPU-heavy per row: when a scan yields fewer partitions than
-    the cluster has cores (one large file, few row groups), spread the rows
-    round-robin first.  Large inputs already arrive in many splits and skip it."""
+    """Text work is CPU-heavy per row: where the input has fewer files than the
+    cluster has cores, deal the rows out first.  Only file metadata is looked
+    at, no stage runs; large inputs have many files and skip it."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par * 2) if df.rdd.getNumPartitions() < par else df
+    return df.repartition(par * 2) if len(df.inputFiles()) < par else df
 
 
 def with_terms(df: DataFrame, text: str, out: str = "_terms") -> DataFrame:
@@ -104,18 +102,14 @@ def topk(df: DataFrame, keys: list[str], order: list[Column], k: int, salts: int
 # ------------------------------------------------------------------ R1
 
 def tfidf_parts(corpus: DataFrame, version: str = "corpus_version", key: str = "clause_id",
-                text: str = "text", extra: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """R1 building blocks: term frequencies (version, key, *extra, term, tf),
-    idf (version, term, idf) with ln((1+n)/(1+df)) + 1, and the L2 norm of
-    every clause vector (version, key, norm) -- an aggregate, not a window."""
+                text: str = "text", extra: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The index as two written tables: postings (version, key, *extra, term,
+    weight) with L2-normalised tf * idf, and idf (version, term, idf) with
+    ln((1+n)/(1+df)) + 1."""
     extra = list(extra or [])
     docs = with_terms(spread(corpus.select(version, key, *extra, text)), text).drop(text)
     occ = _explode_terms(docs, [version, key, *extra])
-    tf = occ.groupBy(version, key, *extra, "term").agg(F.count(F.lit(1)).alias("tf"))
-    # The postings, idf and norms together are the index: each feeds several
-    # consumers with different column sets (so Spark cannot reuse exchanges),
-    # hence each is written once as a parquet table in the shared folder.
-    tf = materialize(tf, "index-postings")
+    tf = materialize(occ.groupBy(version, key, *extra, "term").agg(F.count(F.lit(1)).alias("tf")), "index-counts")
     # n counts every clause, also one without any term (cheap: no text is read)
     n_docs = corpus.groupBy(version).agg(F.count(F.lit(1)).alias("_n"))
     dfreq = tf.groupBy(version, "term").agg(F.count(F.lit(1)).alias("df"))
@@ -124,79 +118,62 @@ def tfidf_parts(corpus: DataFrame, version: str = "corpus_version", key: str = "
         version, "term", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
     idf = materialize(idf, "index-idf")
     w = tf.join(idf, [version, "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
-    norms = w.groupBy(version, key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("norm"))
-    return tf, idf, materialize(norms, "index-norms")
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(version, key)))   # one clause's terms
+    return materialize(w.select(version, key, *extra, "term", (F.col("_w") / norm).alias("weight")), "index-postings"), idf
 
 
 def tfidf_index(corpus: DataFrame, version: str = "corpus_version", key: str = "clause_id",
                 text: str = "text", extra: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Returns (index, idf).  index = (version, key, *extra, term, weight) with
-    L2-normalised tf * idf.  Retrieval itself uses ``tfidf_parts`` and never
-    materialises this full table."""
-    extra = list(extra or [])
-    tf, idf, norms = tfidf_parts(corpus, version, key, text, extra)
-    w = tf.join(idf, [version, "term"]).join(norms, [version, key])
-    index = w.select(version, key, *extra, "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
-    return index, idf
+    """Returns (postings, idf)."""
+    return tfidf_parts(corpus, version, key, text, extra)
 
 
 def query_vectors(queries: DataFrame, idf: DataFrame, qkey: str = "query_id", version: str = "corpus_version",
-                  text: str = "query") -> DataFrame:
+                  text: str = "query", keep: list[str] | None = None) -> DataFrame:
     """Query side of R2: the same analysis, vocabulary of the chosen version only."""
-    q = _explode_terms(with_terms(queries.select(qkey, version, text), text), [qkey, version])
-    tf = q.groupBy(qkey, version, "term").agg(F.count(F.lit(1)).alias("tf"))
-    w = tf.join(idf, [version, "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(qkey, version)))
-    return w.select(qkey, version, "term", "idf", (F.col("_w") / norm).alias("qweight"))
+    by = [qkey, version, *(keep or [])]
+    q = _explode_terms(with_terms(queries.select(*by, text), text), by)
+    return _weighted(q, idf, by, version)
 
 
-def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_MAX_ROWS, sized: DataFrame | None = None) -> DataFrame:
-    """Broadcast ``df`` only when the row count of ``sized`` (a cheap raw input
-    that bounds it, default ``df`` itself) is within ``limit``; otherwise leave
-    the join to a shuffle."""
-    return F.broadcast(df) if (sized if sized is not None else df).count() <= limit else df
+def _weighted(occ: DataFrame, idf: DataFrame, by: list[str], version: str) -> DataFrame:
+    tf = occ.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("tf"))
+    w = tf.join(idf, [version, "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(*by)))
+    return w.select(*by, "term", (F.col("_w") / norm).alias("qweight"))
 
 
-def tfidf_scores(qv: DataFrame, parts: tuple[DataFrame, DataFrame, DataFrame], qkey: str = "query_id",
-                 version: str = "corpus_version", key: str = "clause_id",
-                 extra: list[str] | None = None) -> DataFrame:
-    """Cosine similarity of every (query, clause) pair that shares a term.
+def tfidf_scores(qv: DataFrame, parts: tuple[DataFrame, DataFrame], qkey: str = "query_id",
+                 version: str = "corpus_version", key: str = "clause_id", extra: list[str] | None = None,
+                 scheme: str | None = None) -> DataFrame:
+    """Cosine similarity of every (query, clause) pair that shares a term; with
+    ``scheme``, only of clauses of the query's scheme (its column _qscheme; NULL: all).
 
-    Only the postings of query terms are touched: tf joins the query vectors on
-    (version, term), each posting is weighted tf * idf / norm (the clause norm
-    joins by clause), and the products are summed per pair.  No static
-    broadcast hint: AQE measures the query side at runtime and broadcasts it
-    only when it really is small; otherwise the join shuffles with skew
+    Only the postings of query terms are touched, and pairs of another scheme are
+    dropped at the join, before anything is shuffled.  No static broadcast: AQE
+    measures the query side at runtime, otherwise the join shuffles with skew
     splitting."""
     extra = list(extra or [])
-    tf, _, norms = parts
-    j = tf.join(qv, [version, "term"]).join(norms, [version, key])
-    weight = F.col("tf") * F.col("idf") / F.col("norm")
-    return j.groupBy(qkey, version, key, *extra).agg(F.sum(weight * F.col("qweight")).alias("score"))
+    j = parts[0].join(qv, [version, "term"])
+    if scheme:
+        j = j.filter(F.col("_qscheme").isNull() | (F.col(scheme) == F.col("_qscheme")))
+    return j.groupBy(qkey, version, key, *extra).agg(F.sum(F.col("weight") * F.col("qweight")).alias("score"))
 
 
-def retrieve(queries: DataFrame, parts: tuple[DataFrame, DataFrame, DataFrame], qkey: str = "query_id",
+def retrieve(queries: DataFrame, parts: tuple[DataFrame, DataFrame], qkey: str = "query_id",
              version: str = "corpus_version", key: str = "clause_id", scheme: str = "scheme",
              position: str = "clause_pos", top_k: int = TOP_K, floor: float = FAILURE_FLOOR) -> DataFrame:
     """R2 + W3: per query (with optional scheme) the top-k clauses scoring >= floor,
     ties in corpus order; a query with no such clause (unknown scheme, or best
     below the floor) gets one row with ``retrieval_failed``."""
-    qv = query_vectors(queries, parts[1], qkey, version)
-    # Size check on a proven bound: query-vector rows <= query term occurrences,
-    # counted on the (small) query table alone.  Under the limit the query side
-    # is broadcast and the postings are streamed without a shuffle.
-    n_terms = queries.select(F.size(terms(tokens(F.col("query")))).alias("n")).agg(F.sum("n")).first()[0] or 0
-    if n_terms <= BROADCAST_MAX_ROWS:
-        qv = F.broadcast(qv)
-    return _rank(qv, queries.select(qkey, version, scheme), parts, qkey, version, key, scheme, position, top_k,
-                 floor)
+    q = queries.withColumn("_qscheme", F.col(scheme))
+    qv = query_vectors(q, parts[1], qkey, version, keep=["_qscheme"])
+    return _rank(qv, queries.select(qkey, version, scheme), parts, qkey, version, key, scheme, position, top_k, floor)
 
 
 def _rank(qv: DataFrame, qmeta: DataFrame, parts, qkey, version, key, scheme, position, top_k, floor) -> DataFrame:
-    sc = tfidf_scores(qv, parts, qkey, version, key, extra=[scheme, position])
-    qs = qmeta.select(qkey, version, F.col(scheme).alias("_qscheme"))
-    sc = sc.join(qs, [qkey, version]).filter(F.col("_qscheme").isNull() | (F.col(scheme) == F.col("_qscheme")))
-    sc = sc.filter(F.col("score") >= floor).drop("_qscheme")
+    sc = tfidf_scores(qv, parts, qkey, version, key, extra=[scheme, position], scheme=scheme)
+    sc = sc.filter(F.col("score") >= floor)
     # Equal vectors (duplicate clauses) must tie exactly whatever the summation
     # order, so ranking uses the score rounded far below any real difference.
     sc = sc.withColumn("_rs", F.round("score", 12))
@@ -208,33 +185,29 @@ def _rank(qv: DataFrame, qmeta: DataFrame, parts, qkey, version, key, scheme, po
                       F.bround("score", 4).alias("score"), F.col(key).isNull().alias("retrieval_failed"))
 
 
-def retrieve_small_corpus(queries: DataFrame, parts: tuple[DataFrame, DataFrame, DataFrame],
+def retrieve_small_corpus(queries: DataFrame, parts: tuple[DataFrame, DataFrame],
                           qkey: str = "query_id", version: str = "corpus_version", key: str = "clause_id",
                           scheme: str = "scheme", position: str = "clause_pos", top_k: int = TOP_K,
-                          floor: float = FAILURE_FLOOR, max_vocab: int = 200_000) -> DataFrame:
+                          floor: float = FAILURE_FLOOR) -> DataFrame:
     """R2 for many queries against a small corpus (e.g. every application against
     the policy book).  Only terms of the corpus vocabulary can score, so the
     result depends on (version, scheme, multiset of in-vocabulary terms) alone:
-    those keys are deduplicated, retrieved once each and joined back.  Exact.
-    The vocabulary goes to the executors as a literal set, after a size check;
-    a larger vocabulary falls back to per-query retrieval."""
+    those keys are deduplicated, retrieved once each and joined back.  Exact, and
+    the same plan at every vocabulary size."""
     idf = parts[1]
-    if idf.count() > max_vocab:
-        return retrieve(queries, parts, qkey, version, key, scheme, position, top_k, floor)
-    vocab = [r[0] for r in idf.select("term").distinct().collect()]
-    qt = with_terms(queries.select(qkey, version, scheme, "query"), "query")
-    qt = qt.withColumn("_vt", F.array_sort(F.filter("_terms", lambda x: x.isin(vocab)))).drop("_terms", "query")
+    occ = _explode_terms(with_terms(queries.select(qkey, version, "query"), "query"), [qkey, version])
+    known = occ.join(idf.select(version, "term"), [version, "term"], "left_semi")
+    per = known.groupBy(qkey, version).agg(F.array_sort(F.collect_list("term")).alias("_vt"))   # one query's terms
+    qt = queries.select(qkey, version, scheme).join(per, [qkey, version], "left")
+    qt = qt.withColumn("_vt", F.coalesce("_vt", F.array().cast("array<string>")))
     vkey = F.sha2(F.concat_ws("\u0001", F.col(version), F.coalesce(F.col(scheme), F.lit("\u0000")),
                               F.array_join("_vt", "\u0002")), 256)
     # read twice (distinct keys, join back): written once instead of tokenizing twice
     qt = materialize(qt.withColumn("_vkey", vkey), "query-keys")
     distinct = qt.groupBy("_vkey").agg(F.first(version).alias(version), F.first(scheme).alias(scheme),
                                        F.first("_vt").alias("_vt"))
-    occ = distinct.select("_vkey", version, F.explode_outer("_vt").alias("term")).filter(F.col("term").isNotNull())
-    tf = occ.groupBy("_vkey", version, "term").agg(F.count(F.lit(1)).alias("tf"))
-    w = tf.join(F.broadcast(idf), [version, "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_vkey", version)))
-    qv = w.select(F.col("_vkey").alias(qkey), version, "term", "idf", (F.col("_w") / norm).alias("qweight"))
+    occ = distinct.select(F.col("_vkey").alias(qkey), version, F.col(scheme).alias("_qscheme"), F.explode("_vt").alias("term"))
+    qv = _weighted(occ, idf, [qkey, version, "_qscheme"], version)
     res = _rank(qv, distinct.select(F.col("_vkey").alias(qkey), version, scheme), parts, qkey, version, key, scheme,
                 position, top_k, floor)
     res = res.withColumnRenamed(qkey, "_vkey")
@@ -255,10 +228,10 @@ def vector_topk(queries: DataFrame, items: DataFrame, qkey: str = "query_id", ke
                 vec: str = "embedding", payload: str = "label", top_k: int = TOP_K,
                 floor: float = VECTOR_FLOOR) -> DataFrame:
     """Cosine top-k among items whose payload equals the query's, floor 0.35.
-    The query side is broadcast behind a size check (items are streamed, so a
-    hot payload value causes no shuffle skew)."""
+    AQE broadcasts the query side when its measured size is small; otherwise the
+    join shuffles and hot payload values are split."""
     q = queries.select(qkey, F.col(payload).alias("_p"), F.col(vec).alias("_qv"))
-    j = items.join(_maybe_broadcast(q, sized=queries), items[payload] == F.col("_p"))
+    j = items.join(q, items[payload] == F.col("_p"))
     sc = j.select(qkey, key, cosine(F.col(vec), F.col("_qv")).alias("score")).filter(F.col("score") >= floor)
     sc = sc.withColumn("_rs", F.round("score", 12))
     top = topk(sc, [qkey], [F.desc("_rs"), F.asc(key)], top_k, salt_on=key).drop("_rs")
@@ -337,8 +310,10 @@ def containing_docs(passages: DataFrame, docs: DataFrame, pkey: str = "item_id",
 
     Candidates come from an equi-join on one anchor shingle (tokens 2..anchor+1
     of the passage, which are whole words inside any containing document),
-    against every shingle of every document; each candidate is then verified
-    with ``contains``.  Passages too short for an anchor fall back to nothing.
+    against every shingle of every document; ids are joined first, the two texts
+    once per candidate, and each is verified with ``contains``.  Passages too short
+    for an anchor have no whole word that can serve as a key: those few (a stated
+    query set) are held against every document directly.
     """
     def shingles(tok):
         n = F.greatest(F.size(tok) - anchor + 1, F.lit(0))
@@ -348,14 +323,16 @@ def containing_docs(passages: DataFrame, docs: DataFrame, pkey: str = "item_id",
     def raw(c):
         return F.regexp_extract_all(F.lower(F.col(c)), F.lit(TOKEN_PATTERN), 0)
 
-    p = passages.select(pkey, F.col(ptext).alias("_ptext"), raw(ptext).alias("_pt"))
-    p = p.select(pkey, "_ptext", F.when(F.size("_pt") >= anchor + 2, F.array_join(F.slice("_pt", 2, anchor), " "))
-                 .alias("sh")).filter(F.col("sh").isNotNull())
-    d = spread(docs.select(dkey, F.col(dtext).alias("_dtext"))).withColumn("_dt", raw("_dtext"))
-    d = d.select(dkey, "_dtext", F.explode_outer(F.array_distinct(shingles(F.col("_dt")))).alias("sh")) \
-        .filter(F.col("sh").isNotNull())
-    cand = d.join(_maybe_broadcast(p, sized=passages), "sh").select(pkey, dkey, "_ptext", "_dtext").distinct()
-    return cand.filter(F.contains(F.col("_dtext"), F.col("_ptext"))).select(pkey, dkey)
+    p = passages.select(pkey, F.col(ptext).alias("_ptext")).filter(F.col("_ptext").isNotNull()).withColumn("_pt", raw("_ptext"))
+    long = F.size("_pt") >= anchor + 2
+    anchors = p.filter(long).select(pkey, F.array_join(F.slice("_pt", 2, anchor), " ").alias("sh"))
+    texts = docs.select(dkey, F.col(dtext).alias("_dtext"))
+    d = spread(texts).withColumn("_dt", raw("_dtext"))
+    d = d.select(dkey, F.explode_outer(F.array_distinct(shingles(F.col("_dt")))).alias("sh")).filter(F.col("sh").isNotNull())
+    cand = d.join(anchors, "sh").select(pkey, dkey).distinct().join(p.select(pkey, "_ptext"), pkey).join(texts, dkey)
+    short = texts.join(p.filter(~long).select(pkey, "_ptext"), F.contains(F.col("_dtext"), F.col("_ptext")))
+    found = cand.filter(F.contains(F.col("_dtext"), F.col("_ptext"))).select(pkey, dkey)
+    return found.unionByName(short.select(pkey, dkey)).distinct()
 
 
 def retrieval_quality(results: DataFrame, expected: DataFrame, qkey: str = "query_id", key: str = "clause_id") \

@@ -58,7 +58,7 @@ def d7(t):
 def d4(t):
     """The evidence object of every decision, serialised only here at the sink."""
     d = decisions(t)
-    return d.select("application_id", F.to_json("evidence").alias("evidence_json"))
+    return d.select("application_id", F.to_json("evidence", {"ignoreNullFields": "false"}).alias("evidence_json"))
 
 
 @register("D5_audit_emit")

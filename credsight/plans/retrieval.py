@@ -223,8 +223,10 @@ def a26(t):
     return RT.retrieval_quality(res, exp)
 
 
-@register("R4_vector_topk", """WITH q AS (SELECT vec_id AS query_id, label, embedding FROM embeddings WHERE vec_id < 20),
-it AS (SELECT vec_id AS item_id, label, embedding FROM embeddings WHERE vec_id >= 20),
+@register("R4_vector_topk", """WITH c AS (SELECT label, pos, avg(x) AS m FROM (
+  SELECT label, unnest(range(1, len(embedding) + 1)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY ALL),
+q AS (SELECT label AS query_id, label, list(m ORDER BY pos) AS embedding FROM c GROUP BY label),
+it AS (SELECT vec_id AS item_id, label, embedding FROM embeddings),
 sc AS (SELECT q.query_id, it.item_id,
          list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(it.embedding AS DOUBLE[]))
          / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))
@@ -236,10 +238,12 @@ SELECT q.query_id, CAST(r.rank AS BIGINT) AS rank, r.item_id, round_even(r.score
   r.item_id IS NULL AS retrieval_failed
 FROM q LEFT JOIN (SELECT * FROM r WHERE rank <= 3) r ON q.query_id = r.query_id""")
 def r4(t):
-    """The first 20 vectors query the rest, same label only (payload filter)."""
+    """The mean vector of every label queries all vectors of that label (payload filter)."""
     e = t.embeddings
-    q = e.filter(F.col("vec_id") < 20).select(F.col("vec_id").alias("query_id"), "label", "embedding")
-    items = e.filter(F.col("vec_id") >= 20).select(F.col("vec_id").alias("item_id"), "label", "embedding")
+    c = e.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    c = c.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("v"))      # one vector per label
+    q = c.select(F.col("label").alias("query_id"), "label", F.transform("v", lambda x: x.m).alias("embedding"))
+    items = e.select(F.col("vec_id").alias("item_id"), "label", "embedding")
     return rounded(RT.vector_topk(q, items))
 
 

@@ -46,7 +46,7 @@ w AS (SELECT d.*, date_trunc('day', created_at) - k * INTERVAL 1 DAY AS window_s
       FROM v_decisions d, (SELECT unnest(range(0, 7)) AS k) ks)
 SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, count(*) AS throughput_decisions,
   count(underwriter_action) AS actioned, count_if(underwriter_action = 'override') AS overrides,
-  count_if(underwriter_action = 'accept') AS accepts, round(sum(estimated_cost_usd) / count(*), 6) AS cost_per_app_usd
+  count_if(underwriter_action = 'accept') AS accepts, round(avg(estimated_cost_usd), 6) AS cost_per_app_usd
 FROM w GROUP BY window_start""")
 def t2(t):
     """7-day KPIs sliding by a day over the decision stream (watermark 1 day)."""

@@ -55,13 +55,12 @@ select o_custkey as SK_ID_CURR, {_day('o_orderdate')} + 60 as DAYS_INSTALMENT,
 from {{lineitem}} join {{orders}} on l_orderkey = o_orderkey""",
     "v_pos_cash": """
 select o_custkey as SK_ID_CURR, l_quantity as SK_DPD, l_linenumber as SK_DPD_DEF
-from {lineitem} join {orders} on l_orderkey = o_orderkey
-where l_linenumber <= 2 and o_custkey % 5 <> 0""",
+from {lineitem} join {orders} on l_orderkey = o_orderkey""",
     "v_credit_card": """
 select o_custkey as SK_ID_CURR, l_extendedprice as AMT_BALANCE,
  case when l_discount = 0 then 0.0 else l_extendedprice*(1+l_discount*10) end as AMT_CREDIT_LIMIT_ACTUAL,
  l_quantity as SK_DPD
-from {lineitem} join {orders} on l_orderkey = o_orderkey where l_linenumber = 3""",
+from {lineitem} join {orders} on l_orderkey = o_orderkey""",
     "v_predictions": """
 select l_orderkey, l_linenumber, l_suppkey, l_partkey, case when l_returnflag = 'R' then 1 else 0 end as y_true,
  round(0.6*l_quantity/50.0 + 0.4*l_extendedprice/105000.0, 4) as y_prob, l_linestatus as code_gender,

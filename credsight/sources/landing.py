@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 META_COLUMNS = ["_ingested_at", "_source_file", "_row_hash"]
-SAMPLE_ROWS = 5000
 BOOL_WORDS = ["True", "False", "TRUE", "FALSE", "true", "false"]
 SQL_TYPE = {"BIGINT": "BIGINT", "DOUBLE PRECISION": "DOUBLE", "BOOLEAN": "BOOLEAN", "TEXT": "STRING"}
 
@@ -77,13 +76,12 @@ def add_metadata(df: DataFrame, source_file: str | Column) -> DataFrame:
 
 # ------------------------------------------------------------------ S3 / S4 / S5
 
-def schema_sniff(df: DataFrame, sample_rows: int | None = SAMPLE_ROWS) -> DataFrame:
-    """S3: conservative type per column from a sample: integers without NULLs ->
+def schema_sniff(df: DataFrame) -> DataFrame:
+    """S3: conservative type per column from all rows: integers without NULLs ->
     BIGINT; numbers (or integers with NULLs, or an all-NULL column) -> DOUBLE
     PRECISION; true/false without NULLs -> BOOLEAN; anything else -> TEXT.
-    One aggregate over the sample."""
+    One aggregate, partial on the map side."""
     cols = list(df.columns)
-    sample = df.limit(sample_rows) if sample_rows else df
     aggs = []
     for c in cols:
         v = F.col(f"`{c}`")
@@ -91,7 +89,7 @@ def schema_sniff(df: DataFrame, sample_rows: int | None = SAMPLE_ROWS) -> DataFr
                  F.count_if(v.isNotNull() & ~v.rlike(r"^\s*[+-]?\d+\s*$")).alias(f"ni__{c}"),
                  F.count_if(v.isNotNull() & v.try_cast("double").isNull()).alias(f"nd__{c}"),
                  F.count_if(v.isNotNull() & ~v.isin(BOOL_WORDS)).alias(f"nb__{c}")]
-    stats = sample.agg(*aggs)
+    stats = df.agg(*aggs)
     rows = []
     for i, c in enumerate(cols):
         n, nn, ni, nd, nb = (F.col(f"{p}__{c}") for p in ("n", "nn", "ni", "nd", "nb"))
