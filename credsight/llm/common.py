@@ -37,6 +37,11 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it for every element of an array."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def map_rows(df: DataFrame, keep: list[str], fields: list[StructField],
              fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """Add ``fields``, computed batch by batch in Python by ``fn``, to the columns

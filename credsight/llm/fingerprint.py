@@ -23,8 +23,6 @@ and ids are all that moves besides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +32,6 @@ from . import common as C
 K, BIN_BITS, SELECT, TOKEN_CHARS = 3, 6, 2, 16
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _kmers(tokens: Column) -> Column:
     n = F.size(tokens)
     runs = F.transform(F.sequence(F.lit(0), n - K), lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(K)]))
@@ -58,11 +51,11 @@ def _numbered(kmers: Column) -> Column:
         def runs(f: Column) -> Column:
             return F.flatten(F.transform(f, lambda a, r: F.sequence(F.lit(0), F.coalesce(F.get(f, r + 1), n) - a - 1)))
 
-        return F.zip_with(s, let(first, runs), lambda x, o: item(x.kmer, o.cast("int"), x.pos))
+        return F.zip_with(s, C.let(first, runs), lambda x, o: item(x.kmer, o.cast("int"), x.pos))
 
     spread = F.transform(kmers, lambda x, i: item(x, F.lit(0), i))
     ordered = F.sort_array(F.transform(kmers, lambda x, i: F.struct(x.alias("kmer"), i.alias("pos"))))
-    return F.when(F.size(F.array_distinct(kmers)) == F.size(kmers), spread).otherwise(let(ordered, with_repeats))
+    return F.when(F.size(F.array_distinct(kmers)) == F.size(kmers), spread).otherwise(C.let(ordered, with_repeats))
 
 
 def _bin(x: Column) -> Column:
@@ -87,13 +80,13 @@ def _tuples(items: Column) -> Column:
 
         return F.when(F.size(m) > 0, F.transform(heads, told)).otherwise(F.array().cast("array<bigint>"))
 
-    return let(let(F.sort_array(items), smallest), tuples)
+    return C.let(C.let(F.sort_array(items), smallest), tuples)
 
 
 def fingerprint(text: Column) -> Column:
     """Fingerprint of a text: array of up to 2**BIN_BITS numbers of 32 bits, by bin."""
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(C.WORD[:-1] + f"{{1,{TOKEN_CHARS}}}"), F.lit(0))
-    return let(let(let(tokens, _kmers), _numbered), _tuples)
+    return C.let(C.let(C.let(tokens, _kmers), _numbered), _tuples)
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -88,7 +88,7 @@ def text_scores(rows: DataFrame, languages: list[str], model: np.ndarray, keep:
             for k in range(table.shape[1]):
                 out[some, k] = np.add.reduceat(table[h, k], first[some]) / GRAM
         out = np.round(out, 6)
-        best = [languages[i] if m else None for i, m in zip(out.argmax(axis=1), n)]
+        best = [languages[i] if m else None for i, m in zip(out.argmax(axis=1), n)] if languages else [None] * len(n)
         return [pa.array(out.tolist(), pa.list_(pa.float64())), pa.array(best, pa.string())]
 
     return C.map_rows(rows.select(*[c for c in keep if c != "text"], "text"), keep, fields, fn)

@@ -87,11 +87,13 @@ def _runs(tok: Column, n: int) -> Column:
 
 
 def with_grams(df: DataFrame) -> DataFrame:
-    """Columns tok, pairs (2-grams) and grams (1- to 3-grams; none without a cue word) of the column line."""
-    df = df.withColumn("tok", tokens(F.col("line"))).withColumn("pairs", _runs(F.col("tok"), 2))
-    cued = F.exists("tok", lambda t: t.rlike(f"^{CUE_WORD}$"))
-    every = F.concat("tok", "pairs", _runs(F.col("tok"), 3))
-    return df.withColumn("grams", F.when(cued, every).otherwise(F.array().cast("array<string>")))
+    """Columns pairs (2-grams) and grams (1- to 3-grams; none without a cue word) of the column line."""
+    def made(tok: Column) -> Column:
+        cued = F.exists(tok, lambda t: t.rlike(f"^{CUE_WORD}$"))
+        return C.let(_runs(tok, 2), lambda pairs: F.struct(pairs.alias("pairs"), F.when(cued, F.concat(tok, pairs, _runs(tok, 3))).otherwise(
+            F.array().cast("array<string>")).alias("grams")))
+
+    return df.withColumn("_made", C.let(tokens(F.col("line")), made)).withColumns({"pairs": F.col("_made.pairs"), "grams": F.col("_made.grams")}).drop("_made")
 
 
 def training_rows(seed: int = SEED) -> list[tuple[str, str, bool]]:

@@ -23,7 +23,7 @@ def steps(spark):
     docs = spark.read.parquet(SF + "/documents.parquet")
     extra = [(-1, None, "en", "src0", None), (-2, "", "en", None, 0), (-3, "secret = abcdefgh " + " ".join(f"w{i}" for i in range(70)), "en", "src1", 1),
              (-3, "secret = abcdefgh " + " ".join(f"w{i}" for i in range(70)), "en", "src1", 1), (None, " ".join(f"v{i}" for i in range(90)), "en", "src1", 1)]
-    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema)).withColumnsRenamed({})
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
     docs = docs.withColumn("score", docs.lang).withColumn("kept", docs.source).withColumn("node", docs.doc_id)
     out = [docs.collect()]
     for _, stage in CP.STAGES:
@@ -106,5 +106,6 @@ def test_run_and_empty(spark, docs_of):
 def test_odd_texts_pass(spark, docs_of):
     docs = docs_of([(i, t) for i, t in enumerate(ODD_TEXTS)] + [(i, t) for i, t in enumerate(ODD_TEXTS)])
     for _, stage in CP.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, SF).collect(), stage(spark, docs, SF).schema)
+        made = stage(spark, docs, SF)
+        docs = spark.createDataFrame(made.collect(), made.schema)
     assert {r.doc_id for r in docs.collect()} <= set(range(len(ODD_TEXTS)))
