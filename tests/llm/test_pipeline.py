@@ -11,7 +11,10 @@ import corpus_pipeline as CP
 from credsight.llm import bpe
 
 from ..conftest import SF_SMALL
-from . import test_minhash, test_mixing, test_quality, test_secrets
+from . import test_minhash as brute_minhash
+from . import test_mixing as brute_mixing
+from . import test_quality as brute_quality
+from . import test_secrets as brute_secrets
 from .conftest import ODD_TEXTS
 
 SF = SF_SMALL
@@ -44,15 +47,15 @@ def test_quality(steps):
     before, after = steps[0], steps[1]
     kept = {key(r) for r in after}
     for r in before:
-        n_words, _, _, _, repeated = test_quality.brute(r.text or "")
+        n_words, _, _, _, repeated = brute_quality.brute(r.text or "")
         if n_words < 50 or 100 * repeated > 50 * n_words:
             assert key(r) not in kept
-    assert len(kept) > 0.8 * sum(test_quality.brute(r.text or "")[0] >= 50 for r in before)
+    assert len(kept) > 0.8 * sum(brute_quality.brute(r.text or "")[0] >= 50 for r in before)
 
 
 def test_near_dedup(steps):
     before, after = steps[1], steps[2]
-    want = {d for d, _, low in test_minhash.brute([(r.doc_id, r.text) for r in before]) if d == low}
+    want = {d for d, _, low in brute_minhash.brute([(r.doc_id, r.text) for r in before]) if d == low}
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in after) == sorted(want)
 
 
@@ -62,7 +65,7 @@ def test_secrets(steps):
     n = 0
     for k, r in before.items():
         want, at = "", 0
-        for a, _, b, _ in test_secrets.brute(r.text):
+        for a, _, b, _ in brute_secrets.brute(r.text):
             if a >= at:
                 want += r.text[at:a] + "<secret>"
             at = max(at, b)
@@ -76,14 +79,14 @@ def test_mix(steps):
     before, after = steps[3], steps[4]
     size, taken, longest = {}, {}, {}
     for r in before:
-        size[r.source] = size.get(r.source, 0) + test_mixing.brute_size(r.text)
-        longest[r.source] = max(longest.get(r.source, 0), test_mixing.brute_size(r.text))
+        size[r.source] = size.get(r.source, 0) + brute_mixing.brute_size(r.text)
+        longest[r.source] = max(longest.get(r.source, 0), brute_mixing.brute_size(r.text))
     count = {}
     for r in after:
-        taken[r.source] = taken.get(r.source, 0) + test_mixing.brute_size(r.text)
+        taken[r.source] = taken.get(r.source, 0) + brute_mixing.brute_size(r.text)
         count[key(r)] = count.get(key(r), 0) + 1
     assert max(count.values()) <= 2 and count.keys() <= {key(r) for r in before}
-    for s, t in test_mixing.brute_targets(size).items():
+    for s, t in brute_mixing.brute_targets(size).items():
         assert t - longest[s] - 8 <= taken.get(s, 0) <= t + 1
 
 
