@@ -57,10 +57,11 @@ def findings(text: Column) -> Column:
 
 def finding_matches(text: Column) -> Column:
     """F5 detail: array<struct<type, match>> of every match, patterns in order."""
-    parts = [F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pat})"), 1),
-                         lambda m, n=name: F.struct(F.lit(n).alias("type"), m.alias("match")))
-             for name, pat, _ in PATTERNS]
-    return F.concat(*parts)
+    def matches(name: str, pat: str) -> Column:
+        return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pat})"), 1),
+                           lambda m: F.struct(F.lit(name).alias("type"), m.alias("match")))
+
+    return F.concat(*[matches(name, pat) for name, pat, _ in PATTERNS])
 
 
 def total(counts: Column) -> Column:

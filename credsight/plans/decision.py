@@ -16,10 +16,10 @@ _APPS_COLS = ["application_id", "external_id", "loan_scheme", "amt_income_total"
               "days_employed", "region_rating_client"]
 
 
-def decisions(t, kill_switch: bool = False, ml_scores=None):
+def decisions(t, kill_switch: bool = False, ml_scores=None, **more):
     apps = t.view("v_applications").select(*_APPS_COLS)
     return DE.assess_batch(apps, t.view("v_support_documents"), policy_book(t.spark), kill_switch=kill_switch,
-                           ml_scores=ml_scores)
+                           ml_scores=ml_scores, **more)
 
 
 _D1_COLS = ["application_id", "risk_score", "risk_band", "retrieval_failed", "regulatory_status",
@@ -29,12 +29,38 @@ _D1_COLS = ["application_id", "risk_score", "risk_band", "retrieval_failed", "re
 @register("D1_assess_batch")
 def d1(t):
     """Recommendation, escalation and evidence summary for every application."""
-    d = decisions(t)
+    return _summary(decisions(t))
+
+
+def _summary(d):
     return rounded(d.select(*_D1_COLS, F.col("cost.cost_usd").alias("estimated_cost_usd"),
                             F.size("policy_clauses").alias("n_clauses"), F.col("document_findings.verified")
                             .alias("documents_verified"), "approve_allowed"))
 
 
+PAUSED_SCHEME = "Personal Loan"
+
+
+@register("D1_assess_paused")
+def d1_paused(t):
+    """D1 while one scheme is paused for fairness (another pause was released)."""
+    pauses = t.spark.sql(f"""SELECT * FROM VALUES ('{PAUSED_SCHEME}', CAST(NULL AS TIMESTAMP)),
+        ('Home Loan', TIMESTAMP '2024-01-01 00:00:00') AS p(scheme, released_at)""")
+    return _summary(decisions(t, pauses=pauses))
+
+
+@register("D1_assess_forced_failure")
+def d1_forced(t):
+    """D1 with the regulatory checks forced to fail."""
+    return _summary(decisions(t, force_regulatory_fail=True))
+
+
+@register("D1_assess_all_rules")
+def d1_all(t):
+    """D1 with every rule of the scheme evaluated instead of the retrieved ones."""
+    return _summary(decisions(t, clauses="all"))
+
+
 @register("D3_decision_cascade")
 def d3(t):
     """D2 + D3 summarised: applications per (recommendation, escalation reason, missing evidence)."""
@@ -126,7 +152,7 @@ def f3(t):
 
 
 # ------------------------------------------------------------ D1 oracle
-def _d1_oracle() -> str:
+def _d1_oracle(paused: str | None = None, forced: bool = False, every_rule: bool = False) -> str:
     from ..operators.policy import RULE_BOOK
     from ..sources.corpus import CLAUSE_TEXT, POLICY_VERSION
     from .policy import _DIGEST_SQL, _DOC_SQL, _METRICS_SQL, _cmp, _obs
@@ -150,17 +176,21 @@ def _d1_oracle() -> str:
   || coalesce(CAST(amt_income_total AS VARCHAR), 'None') || ' annuity ' || coalesce(CAST(amt_annuity AS VARCHAR), 'None')
   || ' employment days ' || coalesce(CAST(days_employed AS VARCHAR), 'None') || ' region rating '
   || coalesce(CAST(region_rating_client AS VARCHAR), 'None') AS query FROM v_applications"""
+    every = """(SELECT CAST(application_id AS VARCHAR) AS query_id, coalesce(loan_scheme, 'Personal Loan') AS own FROM v_applications) a
+        JOIN (SELECT *, row_number() OVER (PARTITION BY scheme ORDER BY clause_pos) AS rank FROM book) b ON b.scheme = a.own"""
+    if every_rule:
+        every = every.replace(") a\n", ") r\n").replace("a.own", "r.own")
     return (cte("v_applications", "v_support_documents") + ", " + _ORACLE_SCORE + ", " + _index_sql(book)
             + _retrieve_sql(queries) + ", " + _METRICS_SQL + ", " + _DOC_SQL + ", " + _DIGEST_SQL + f""",
 book AS ({book}),
 ret AS (SELECT CAST(query_id AS BIGINT) AS application_id, count(clause_id) AS n_clauses,
           bool_or(retrieval_failed) AS retrieval_failed FROM res GROUP BY query_id),
-ev0 AS (SELECT CAST(r.query_id AS BIGINT) AS application_id, r.rank, b.clause_id, b.metric, b.operator, b.threshold,
+ev0 AS (SELECT CAST(r.query_id AS BIGINT) AS application_id, {'b.rank' if every_rule else 'r.rank'} AS rank, b.clause_id, b.metric, b.operator, b.threshold,
           coalesce(b.on_violation, 'refer') AS action, {_obs('b.metric')} AS observed, {_obs('b.guard_metric')} AS gobs,
           b.guard_metric, b.guard_operator, b.guard_threshold,
           CASE lower(trim(b.threshold)) WHEN 'true' THEN 1.0 WHEN 'false' THEN 0.0
                ELSE TRY_CAST(b.threshold AS DOUBLE) END AS th
-        FROM res r JOIN book b ON CAST(r.clause_id AS VARCHAR) = b.clause_id
+        FROM {every if every_rule else "res r JOIN book b ON CAST(r.clause_id AS VARCHAR) = b.clause_id"}
         JOIN mm ON mm.application_id = CAST(r.query_id AS BIGINT) WHERE b.metric IS NOT NULL),
 ev1 AS (SELECT *, guard_metric IS NOT NULL AND (gobs IS NULL OR NOT coalesce({_cmp('guard_operator', 'gobs',
           'guard_threshold')}, false)) AS na FROM ev0),
@@ -173,16 +203,18 @@ pol AS (SELECT application_id, count_if(NOT sat) = 0 AS approve_allowed,
           arg_max(eff, (CASE eff WHEN 'escalate' THEN 1 WHEN 'refer' THEN 2 WHEN 'decline' THEN 3 ELSE 0 END, -rank))
             FILTER (WHERE NOT sat) AS required_action
         FROM ev2 GROUP BY application_id),
-reg AS (SELECT application_id, CASE WHEN count_if(digest_mod100 < rate) > 0 THEN 'FAIL' ELSE 'PASS' END AS regulatory_status
+reg AS (SELECT application_id, CASE WHEN {"true" if forced else "false"} THEN 'escalate_for_review'
+          WHEN count_if(digest_mod100 < rate) > 0 THEN 'FAIL' ELSE 'PASS' END AS regulatory_status
         FROM dig GROUP BY application_id),
 asm AS (
-  SELECT f.application_id, f.risk_score, f.risk_band, coalesce(ret.retrieval_failed, true) AS retrieval_failed,
+  SELECT f.application_id, f.risk_score, f.risk_band, coalesce(va.loan_scheme, 'Personal Loan') = {q(paused or "")} AS scheme_paused,
+    coalesce(ret.retrieval_failed, true) AS retrieval_failed,
     coalesce(ret.n_clauses, 0) AS n_clauses, reg.regulatory_status, len(k.missing_information) = 0
       AND len(k.consistency_findings) = 0 AS documents_verified,
     coalesce(pol.approve_allowed, true) AS approve_allowed, coalesce(pol.escalation_required, false) AS esc_req,
     pol.required_action, CASE WHEN f.ok = 1 THEN 3 ELSE 0 END AS n_factors,
     CASE WHEN f.risk_score IS NOT NULL THEN greatest(f.risk_score, 1 - f.risk_score) END AS conf
-  FROM final f LEFT JOIN ret ON ret.application_id = f.application_id
+  FROM final f JOIN v_applications va ON va.application_id = f.application_id LEFT JOIN ret ON ret.application_id = f.application_id
   LEFT JOIN reg ON reg.application_id = f.application_id LEFT JOIN k ON k.application_id = f.application_id
   LEFT JOIN pol ON pol.application_id = f.application_id),
 cst AS (SELECT *, round(0.002 + round(n_clauses * 0.0005, 6) + CASE WHEN risk_score IS NOT NULL THEN 0.001 ELSE 0.0 END
@@ -191,10 +223,10 @@ cst AS (SELECT *, round(0.002 + round(n_clauses * 0.0005, 6) + CASE WHEN risk_sc
           risk_score IS NOT NULL AND n_factors > 0 AND n_clauses > 0 AND regulatory_status IS NOT NULL
             AS evidence_complete FROM asm),
 g AS (SELECT *, CASE WHEN estimated_cost_usd > 0.08 THEN 'cost_guardrail' WHEN retrieval_failed THEN 'retrieval_failed'
-          WHEN NOT evidence_complete THEN 'incomplete_evidence'
+          WHEN NOT evidence_complete THEN 'incomplete_evidence' WHEN scheme_paused THEN 'scheme_paused_fairness'
           WHEN conf IS NOT NULL AND conf < 0.60 THEN 'low_model_confidence'
           WHEN regulatory_status = 'escalate_for_review' THEN 'regulatory_unresolved' END AS gate,
-        CASE WHEN estimated_cost_usd > 0.08 OR retrieval_failed OR NOT evidence_complete THEN true ELSE false END AS ks,
+        CASE WHEN estimated_cost_usd > 0.08 OR retrieval_failed OR NOT evidence_complete OR scheme_paused THEN true ELSE false END AS ks,
         coalesce(CASE regulatory_status || '+' || risk_band WHEN 'PASS+Low' THEN 'Approve' WHEN 'PASS+Medium' THEN 'Refer'
           WHEN 'PASS+High' THEN 'Decline' WHEN 'FAIL+Low' THEN 'Decline' WHEN 'FAIL+Medium' THEN 'Decline'
           WHEN 'FAIL+High' THEN 'Decline' END, 'Refer') AS rec0 FROM cst),
@@ -220,6 +252,9 @@ FROM o""")
 from .catalog import ORACLES as _OR  # noqa: E402
 
 _OR["D1_assess_batch"] = _d1_oracle()
+_OR["D1_assess_paused"] = _d1_oracle(paused=PAUSED_SCHEME)
+_OR["D1_assess_forced_failure"] = _d1_oracle(forced=True)
+_OR["D1_assess_all_rules"] = _d1_oracle(every_rule=True)
 _OR["D3_decision_cascade"] = _d1_oracle().rsplit("SELECT application_id, risk_score", 1)[0] + """,
 fin AS (SELECT application_id, risk_score, risk_band, retrieval_failed, regulatory_status, evidence_complete,
   CASE WHEN gate IS NOT NULL THEN 'Refer' ELSE rec2 END AS recommendation,

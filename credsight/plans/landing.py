@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as EV
 from ..operators import features as FT
 from ..operators import ops as OP
-from ..session import fresh_scratch
+from ..session import fresh_scratch, materialize
 from ..sources import landing as L
 from .catalog import register, rounded
 from .evaluate import _G81, _PRED, _sweep_sql
@@ -99,9 +99,11 @@ def s7(t):
     raw = t.view("v_raw_customer")
     path = fresh_scratch(t.spark, "bronze-incremental")
     L.land_full_refresh(raw.filter(F.col("c_custkey").cast("bigint") % 3 != 0), path, "customer.csv")
-    before = t.spark.read.parquet(path).select("_row_hash")
-    batch = L.add_metadata(raw, "customer.csv")
-    return L.new_rows(batch, before).drop("_ingested_at")
+    before = t.spark.read.parquet(path).select("_row_hash").distinct()
+    first = materialize(before, "landed-before")
+    L.land_incremental(raw, path, "customer.csv")
+    return t.spark.read.parquet(path).join(first, "_row_hash", "left_anti").select(
+        *raw.columns, "_source_file", "_row_hash")
 
 
 # Raw balance text in accounting style: negatives as "(12.34)", which the

@@ -69,6 +69,16 @@ def p16(t):
     return rounded(OP.visible_applications(apps, None, is_ops=True))
 
 
+@register("P16_visibility_own", cte("v_applications") + """
+SELECT application_id, applicant_id, loan_scheme, created_at FROM v_applications
+WHERE applicant_id = (SELECT max(applicant_id) FROM v_applications)""")
+def p16_own(t):
+    """P16 for an applicant (the one of the largest id): only their own applications."""
+    apps = t.view("v_applications").select("application_id", "applicant_id", "loan_scheme", "created_at")
+    viewer = apps.agg(F.max("applicant_id")).first()[0]
+    return rounded(OP.visible_applications(apps, viewer, is_ops=False))
+
+
 # Action feed derived from the decisions: assessment = application, the action
 # is the underwriter action, reason and reason code follow the decision id.
 _FEED_SQL = """feed AS (

@@ -29,6 +29,20 @@ def f5(t):
     return d.select("doc_id", PV.findings(F.col("text")).alias("f")).select("doc_id", "f.*")
 
 
+def _matches_sql() -> str:
+    parts = [f"SELECT doc_id, {i} AS pattern_no, '{name}' AS type, unnest(regexp_extract_all(coalesce(text, ''), '({pat})', 1)) AS match FROM documents"
+             for i, (name, pat, _) in enumerate(PV.PATTERNS)]
+    return "SELECT doc_id, type, match, count(*) AS n FROM (" + " UNION ALL ".join(parts) + ") x GROUP BY ALL"
+
+
+@register("F5_pii_matches", _matches_sql())
+def f5_matches(t):
+    """the matches themselves, counted per document, type and matched text."""
+    d = spread(t.documents.select("doc_id", "text"))
+    m = d.select("doc_id", F.explode(PV.finding_matches(F.col("text"))).alias("m"))
+    return m.groupBy("doc_id", F.col("m.type").alias("type"), F.col("m.match").alias("match")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _redact_steps_sql(text: str) -> tuple[str, dict[str, list[str]]]:
     cur = f"coalesce({text}, '')"
     counts = {t: [] for t in PV.TYPES}
@@ -41,22 +55,23 @@ def _redact_steps_sql(text: str) -> tuple[str, dict[str, list[str]]]:
 def _f4_sql() -> str:
     red, counts = _redact_steps_sql("text")
     cols = ", ".join(f"CAST({' + '.join(v)} AS INTEGER) AS {k}" for k, v in counts.items())
-    return f"SELECT doc_id, {cols} FROM documents"
+    return f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {red} END AS redacted, {cols} FROM documents"
 
 
 @register("F4_pii_redact", _f4_sql())
 def f4(t):
-    """per document, what the ordered redaction replaced, by type."""
+    """per document the redacted text, and what the ordered redaction replaced, by type."""
     d = spread(t.documents.select("doc_id", "text"))
-    return d.select("doc_id", PV.redaction_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
+    return d.select("doc_id", PV.redact(F.col("text")).alias("redacted"),
+                    PV.redaction_counts(F.col("text")).alias("c")).select("doc_id", "redacted", "c.*")
 
 
 def _f6_sql() -> str:
     red, counts = _redact_steps_sql("text")
     n_red = " + ".join(x for v in counts.values() for x in v)
     resid = " + ".join(_count_sql("red", pat) for _, pat, _ in PV.PATTERNS)
-    return f"""SELECT conv_id, turn, CAST(n_redacted AS INTEGER) AS n_redacted, CAST({resid} AS INTEGER) AS n_residual,
-  ({resid}) > 0 AS blocked FROM (SELECT conv_id, turn, {red} AS red, {n_red} AS n_redacted FROM conversations) x"""
+    return f"""SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN red END AS redacted, CAST(n_redacted AS INTEGER) AS n_redacted, CAST({resid} AS INTEGER) AS n_residual,
+  ({resid}) > 0 AS blocked FROM (SELECT conv_id, turn, text, {red} AS red, {n_red} AS n_redacted FROM conversations) x"""
 
 
 @register("F6_pii_gate", _f6_sql())
@@ -64,7 +79,7 @@ def f6(t):
     """every conversation turn redacted and re-linted; blocked when PII survives."""
     c = spread(t.conversations.select("conv_id", "turn", "text"))
     g = c.select("conv_id", "turn", PV.gate(F.col("text")).alias("g"))
-    return g.select("conv_id", "turn", F.col("g.n_redacted").alias("n_redacted"),
+    return g.select("conv_id", "turn", F.col("g.redacted").alias("redacted"), F.col("g.n_redacted").alias("n_redacted"),
                     F.col("g.n_residual").alias("n_residual"), F.col("g.blocked").alias("blocked"))
 
 

@@ -267,13 +267,15 @@ def f9(t):
 
 
 @register("R5_vector_index_upsert", f"""WITH c AS ({_CORPUS_BOTH})
-SELECT count(*) AS n_points FROM (SELECT DISTINCT corpus_version, clause_id FROM c) d""")
+SELECT corpus_version, clause_id, scheme, 2::INTEGER AS ingest_seq, text || ' (revised)' AS payload FROM c""")
 def r5(t):
-    """Indexing both versions twice leaves one point per (version, clause)."""
-    c = RT.point_ids(corpus(t, (ACTIVE, OLD)).select("corpus_version", "clause_id"), _NS)
-    once = RT.vector_upsert(c.withColumn("ingest_seq", F.lit(1)).limit(0), c.withColumn("ingest_seq", F.lit(1)))
-    twice = RT.vector_upsert(once, c.withColumn("ingest_seq", F.lit(2)))
-    return twice.agg(F.count(F.lit(1)).alias("n_points"))
+    """Indexing both versions twice, the second time with a revised payload,
+    leaves one point per (version, clause), with the later payload."""
+    c = RT.point_ids(corpus(t, (ACTIVE, OLD)).select("corpus_version", "clause_id", "scheme", F.col("text").alias("payload")), _NS)
+    first = c.withColumn("ingest_seq", F.lit(1))
+    once = RT.vector_upsert(first.limit(0), first)
+    second = c.withColumn("payload", F.concat("payload", F.lit(" (revised)"))).withColumn("ingest_seq", F.lit(2))
+    return RT.vector_upsert(once, second).select("corpus_version", "clause_id", "scheme", "ingest_seq", "payload")
 
 
 @register("R6_retrieval_fallback", "WITH " + _index_sql(_CORPUS_ACTIVE) + _retrieve_sql(_Q_ALL) + """

@@ -161,16 +161,17 @@ def land_incremental(batch: DataFrame, path: str, source_file: str, dedupe_batch
     staged = add_metadata(batch, source_file)
     try:
         target = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:              # only a target that isn't there yet counts as empty
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         target = None
     fresh = staged if target is None else new_rows(staged, target, dedupe_batch)
     stage_path = path.rstrip("/") + "__staging"
     fresh.write.mode("overwrite").parquet(stage_path)
     stage = spark.read.parquet(stage_path)
-    loaded = stage.count()
+    loaded, attempted = stage.count(), batch.count()
     stage.write.mode("append").parquet(path)
-    return {"rows_attempted": batch.count(), "rows_loaded": loaded,
-            "rows_skipped": batch.count() - loaded, "rows_rejected": 0}
+    return {"rows_attempted": attempted, "rows_loaded": loaded, "rows_skipped": attempted - loaded, "rows_rejected": 0}
 
 
 _SPARK_TYPES = {"BIGINT": "bigint", "DOUBLE PRECISION": "double", "BOOLEAN": "boolean", "TEXT": "string"}
