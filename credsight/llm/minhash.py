@@ -10,32 +10,35 @@ under the threshold share an index key.  At a Jaccard similarity of 0.8 the
 distance is 9.6 of 48 on average with a deviation of 2.8; ``ERRORS`` = 23 lies
 4.8 deviations above it.  Links are confirmed on the full sets.
 
-Documents with equal sets are one node.  Links only matter for components, so
-they are found in two steps that together lose none:
-
-1. Every node is held against one hub, the smallest node of the key it shares
-   most often.  Confirmed pairs are a forest, contracted by pointer jumping.
-2. In every key that still holds more than one component, signatures of
-   different components are compared in blocks, pairs at distance ``ERRORS`` or
-   less are confirmed, and the components joined.
+Documents with equal sets are one node.  Links only matter for components, so no
+list of pairs is made; every step emits at most one edge per node and group:
+
+1. In every index key, nodes near the key's hub (its smallest node) are tied to it.
+   Only keys with other nodes are searched further: those nodes against all nodes
+   of the key, in blocks.  Components of these ties are families: all pairs under
+   the threshold lie inside one.
+2. A family's full sets meet in blocks of ``BLOCK_SHINGLES``, each with the family's
+   hub, and the linked components of the block are found exactly.  Where a family
+   has more than one block, nodes not connected to the hub are held against all
+   its other blocks.
 
 Defined cases: a null text, or one without words, has an empty set and is linked
 with nothing; fewer than ``WORDS`` words form one shingle; repeated rows are
 documents of their own in one component; a null id never is the smallest unless
 its component has no other; an empty table gives an empty table.
 
-Scale: texts are read once for signatures and shuffled once per step to confirm.
-A key that holds a third of all nodes is pre-aggregated to its hub and joined
-by a join that Spark can split; a hub's members are confirmed in salted groups of
-``GROUP_ROWS``, a key's signatures are compared in blocks of ``BLOCK_ROWS``.  No
-pair is emitted that isn't a hub link or under the distance threshold.
-Intermediate tables are written to the shared folder.
+Scale: texts are read once for signatures and shuffled once to confirm links; only
+those of family members move on to their groups.  A key that holds a third of all
+nodes is pre-aggregated to its hub and joined by a join that Spark can split, and
+costs one comparison per node if its nodes are near the hub.  Inside a group a node
+is only compared with those not yet connected, so that a group of near copies costs
+little more than its size.  Intermediate tables are written to the shared folder.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -50,7 +53,7 @@ from . import common as C
 
 WORDS, PERCENT = 4, 80
 HASHES, CHUNKS, BITS, ERRORS = 48, 12, 16, 23
-GROUP_ROWS, BLOCK_ROWS = 2000, 1000
+BLOCK_ROWS, BLOCK_SHINGLES = 2000, 500_000
 _SALT = C.mix(np.arange(1, HASHES + 1, dtype=C.U64))
 _ODD = C.mix(np.arange(1001, HASHES + 1001, dtype=C.U64)) | C.U64(1)
 
@@ -129,55 +132,133 @@ def _keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "key bigint, node bigint")
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether the Jaccard similarity of two sorted distinct arrays is percent / 100 or more."""
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if 100 * len(small) < percent * len(large) or not len(small):
-        return False
-    at = np.searchsorted(large, small)
-    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked.  Members meet their hub b in salted groups."""
-    size = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("salts"))
-    members = pairs.join(size, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"), F.lit(1).alias("role"),
-                                           F.col("a").alias("node"))
-    hubs = size.select("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"),
-                       F.lit(0).alias("role"), F.col("b").alias("node"))
-    need = members.unionByName(hubs).join(nodes.select("node", "row_key"), "node")
-    texts = docs.select(C.row_key("doc_id", "text").alias("row_key"), "text")
-    rows = texts.join(need, "row_key").select("b", "salt", "role", "node", "text")
-    rows = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
+def connect(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """First node of each node's component; ``near(i, js)`` tells which of ``js`` node i touches."""
+    label, left = np.arange(n), np.arange(n)
+    while len(left):
+        first, left = left[0], left[1:]
+        queue = [first]
+        while queue and len(left):
+            hit = near(queue.pop(), left)
+            if hit.any():
+                label[left[hit]] = first
+                queue.extend(left[hit].tolist())
+                left = left[~hit]
+    return label
+
+
+def near_by_signature(sig: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    return lambda i, js: (sig[js] != sig[i]).sum(axis=1) <= ERRORS
+
+
+def linked_sets(sets: list[np.ndarray], percent: int = PERCENT) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Whether the Jaccard similarity of set i and each set of js is percent / 100 or more, exactly."""
+    sizes = np.array([len(x) for x in sets])
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(names), dtype=np.int64)
+
+    def near(i: int, js: np.ndarray) -> np.ndarray:
+        out = (100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i]))
+        some = js[out]
+        if len(some):
+            own = ids[first[i]:first[i + 1]]
+            mark[own] = 1
+            n = sizes[some]
+            at = np.repeat(first[some] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            both = np.add.reduceat(mark[ids[at]], np.concatenate(([0], np.cumsum(n)[:-1])))
+            mark[own] = 0
+            out[out] = 100 * both >= percent * (n + sizes[i] - both)
+        return out
+
+    return near
+
 
+def _edges(node: np.ndarray, label: np.ndarray) -> pd.DataFrame:
+    tied = np.flatnonzero(label != np.arange(len(node)))
+    return pd.DataFrame({"a": node[tied], "b": node[label[tied]]})
+
+
+def _near_edges(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.drop_duplicates("node")
+    sig = np.frombuffer(b"".join(rows.sig), dtype=np.uint16).reshape(-1, HASHES)
+    return _edges(rows.node.to_numpy(), connect(len(rows), near_by_signature(sig)))
+
+
+def _linked_edges(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.drop_duplicates("node")
+    sets = list(shingle_sets(pa.array(rows.text, pa.large_string())))
+    return _edges(rows.node.to_numpy(), connect(len(rows), linked_sets(sets)))
+
+
+def _hub_distance(rows: DataFrame) -> DataFrame:
+    """key, node, hub and whether the node is near the hub, from both signatures."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, hub = None, None
-        for whole in batches:
-            for x in C.pieces(whole):
-                b, salt, role, node = (x.column(i).to_numpy() for i in range(4))
-                a_out, b_out = [], []
-                for i, own in enumerate(shingle_sets(x.column(4))):
-                    if role[i] == 0:
-                        group, hub = (b[i], salt[i]), own
-                    elif group == (b[i], salt[i]) and linked(own, hub):
-                        a_out.append(node[i])
-                        b_out.append(b[i])
-                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
-
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def contract(parents: DataFrame) -> DataFrame:
-    """Node -> root from node -> parent of a forest whose parents are smaller, by pointer jumping."""
-    now = materialize(parents, "forest")
-    while True:
-        up = now.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        now = materialize(now.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"),
-                                                                F.col("above").isNotNull().alias("moved")), "forest")
-        if now.where("moved").isEmpty():
-            return now.select("node", F.col("parent").alias("root"))
-        now = now.select("node", "parent")
+        for b in batches:
+            if b.num_rows:
+                own, hub = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint16).reshape(-1, HASHES) for i in (3, 4))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array((own != hub).sum(axis=1) <= ERRORS)],
+                                                 names=["key", "node", "hub", "near"])
+
+    return rows.select("key", "node", "hub", "sig", "hub_sig").mapInArrow(run, "key bigint, node bigint, hub bigint, near boolean")
+
+
+def _meet(rest: DataFrame, every: DataFrame, key: str) -> DataFrame:
+    """Rows (key, r, e, node): each block of ``rest`` beside each block of ``every``.  Both have the key,
+    node, and n_rest and n_every, the numbers of blocks of that key."""
+    zero = F.lit(0).cast("bigint")
+    r = rest.select(key, F.pmod(F.xxhash64("node"), F.col("n_rest")).alias("r"),
+                    F.explode(F.sequence(zero, F.col("n_every") - 1)).alias("e"), "node")
+    e = every.select(key, F.explode(F.sequence(zero, F.col("n_rest") - 1)).alias("r"),
+                     F.pmod(F.xxhash64("node"), F.col("n_every")).alias("e"), "node")
+    return r.unionByName(e)
+
+
+def families(nodes: DataFrame) -> DataFrame:
+    """node -> family for every node under the distance threshold of another."""
+    keys = _keys(nodes)
+    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").drop("other")
+    shared = materialize(keys.join(hubs, "key"), "shared")    # only keys of two nodes or more
+    sig = nodes.select("node", "sig")
+    both = shared.join(sig, "node").join(sig.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+    judged = materialize(_hub_distance(both), "judged")
+    ties = judged.where("near AND node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    sizes = (judged.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far")).where("far > 0")
+             .select("key", F.ceil(F.col("far") / BLOCK_ROWS).alias("n_rest"), F.ceil(F.col("n") / BLOCK_ROWS).alias("n_every")))
+    every = judged.join(sizes, "key")
+    groups = _meet(every.where("NOT near"), every, "key").join(sig, "node")
+    more = groups.groupBy("key", "r", "e").applyInPandas(_near_edges, "a bigint, b bigint")
+    return components(ties.unionByName(more.distinct())).withColumnRenamed("root", "family")
+
+
+def links(family: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what is linked inside the families, confirmed on full sets."""
+    texts = docs.select(C.row_key("doc_id", "text").alias("row_key"), "text")
+    members = materialize(family.join(nodes.select("node", "row_key", "n_shingles"), "node"), "members")
+    blocks = F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)
+    sizes = members.groupBy("family").agg(F.min("node").alias("hub"), blocks.alias("blocks"))
+    zero = F.lit(0).cast("bigint")
+
+    def confirmed(groups: DataFrame, *by: str) -> DataFrame:
+        rows = texts.join(groups.join(nodes.select("node", "row_key"), "node"), "row_key")
+        return materialize(rows.groupBy(*by).applyInPandas(_linked_edges, "a bigint, b bigint"), "links")
+
+    own = members.join(sizes, "family").select("family", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node")
+    hubs = sizes.where("blocks > 1").select("family", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), F.col("hub").alias("node"))
+    edges = confirmed(own.unionByName(hubs), "family", "block")
+
+    large = members.join(sizes.where("blocks > 1"), "family")
+    root = components(edges)
+    large = large.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    at_hub = large.where("node = hub").select("family", F.col("root").alias("hub_root"))
+    large = materialize(large.join(at_hub, "family"), "large")
+    rest = large.where("root <> hub_root")
+    n_rest = rest.groupBy("family").agg(blocks.alias("n_rest"))
+    if n_rest.isEmpty():                          # no family has more than one block, or its hub holds all of it
+        return edges
+    rest = rest.join(n_rest, "family").withColumnRenamed("blocks", "n_every")
+    every = large.join(n_rest, "family").withColumnRenamed("blocks", "n_every")
+    return edges.unionByName(confirmed(_meet(rest, every, "family"), "family", "r", "e"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -195,27 +276,6 @@ def components(edges: DataFrame) -> DataFrame:
         now = now.select("node", "root")
 
 
-def _close_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components within the distance, of one key and pair of blocks."""
-    rows = rows.sort_values("n_shingles", kind="stable")
-    sig = np.frombuffer(b"".join(rows.sig), dtype=np.uint16).reshape(-1, HASHES)
-    n, root, node = rows.n_shingles.to_numpy(), rows.root.to_numpy(), rows.node.to_numpy()
-    block, left, right = rows.block.to_numpy(), int(rows.left.iloc[0]), int(rows.right.iloc[0])
-    until = np.searchsorted(n, n * 100 // PERCENT, side="right")     # the sizes that can still be linked
-    out_a, out_b = [], []
-    for i in range(len(rows) - 1):
-        j = slice(i + 1, max(int(until[i]), i + 1))
-        near = (sig[j] != sig[i]).sum(axis=1) <= ERRORS
-        near &= root[j] != root[i]
-        if left != right:
-            near &= block[j] != block[i]
-        hits = np.flatnonzero(near) + i + 1
-        out_a.append(np.maximum(node[hits], node[i]))
-        out_b.append(np.minimum(node[hits], node[i]))
-    none = np.zeros(0, dtype=np.int64)
-    return pd.DataFrame({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """row_key, doc_id, n_shingles, component_id and kept of every document."""
     sketches = materialize(sketch(docs), "sketches")
@@ -225,33 +285,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
              .withColumn("node", F.monotonically_increasing_id()))
     nodes = materialize(nodes, "nodes")                       # from here on the numbers are fixed
 
-    keys = _keys(nodes)
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").drop("other")
-    shared = materialize(keys.join(hubs, "key"), "shared")    # only keys of two nodes or more
-
-    best = (shared.where("node > hub").groupBy("node", "hub").agg(F.count("*").alias("hits"))
-            .groupBy("node").agg(F.max_by("hub", F.struct("hits", -F.col("hub"))).alias("hub")))
-    stars = confirm(materialize(best.select(F.col("node").alias("a"), F.col("hub").alias("b")), "pairs"), nodes, docs)
-    roots = contract(stars.select(F.col("a").alias("node"), F.col("b").alias("parent")))
-
-    known = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    split = (known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-             .where("low < high").select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")))
-    rows = known.join(split, "key").join(nodes.select("node", "sig", "n_shingles"), "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rows = rows.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-    close = rows.groupBy("key", "left", "right").applyInPandas(_close_pairs, "a bigint, b bigint").distinct()
-    more = confirm(materialize(close, "close"), nodes, docs)
-    merged = components(more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-                        .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-                        .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    merged = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
-
-    node_root = (nodes.select("node", "set_key", "lowest").join(roots, "node", "left")
-                 .withColumn("root", F.coalesce("root", "node")).join(merged, "root", "left")
-                 .withColumn("top", F.coalesce("top", "root")))
-    node_root = materialize(node_root.select("set_key", "top", "lowest"), "roots")
+    root = components(links(materialize(families(nodes), "families"), nodes, docs))
+    node_root = materialize(nodes.select("node", "set_key", "lowest").join(root, "node", "left")
+                            .select("set_key", "lowest", F.coalesce("root", "node").alias("top")), "roots")
     lowest = node_root.groupBy("top").agg(F.min("lowest").alias("component_id"))
     found = materialize(node_root.join(lowest, "top").select("set_key", "component_id", F.lit(True).alias("found")), "components")
     out = sketches.select("row_key", "doc_id", "n_shingles", "set_key").join(found, "set_key", "left")

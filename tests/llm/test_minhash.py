@@ -60,9 +60,9 @@ def families(seed=3):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_as_brute_force(docs_of, monkeypatch, small):
-    if small:                                    # many salted groups and blocks
-        monkeypatch.setattr(M, "GROUP_ROWS", 3)
+    if small:                                    # many blocks
         monkeypatch.setattr(M, "BLOCK_ROWS", 4)
+        monkeypatch.setattr(M, "BLOCK_SHINGLES", 400)
     rows = families() + [(None, "a b c d e f"), (9, None), (8, ""), (7, "x y"), (6, "X Y"), (6, "X Y"), (5, "a b c d e f")]
     out = M.near_duplicates(docs_of(rows)).collect()
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in out)
