@@ -180,13 +180,13 @@ def _edges(node: np.ndarray, label: np.ndarray) -> pd.DataFrame:
 
 
 def _near_edges(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.drop_duplicates("node")
+    rows = rows.drop_duplicates("node").sort_values("node")
     sig = np.frombuffer(b"".join(rows.sig), dtype=np.uint16).reshape(-1, HASHES)
     return _edges(rows.node.to_numpy(), connect(len(rows), near_by_signature(sig)))
 
 
 def _linked_edges(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.drop_duplicates("node")
+    rows = rows.drop_duplicates("node").sort_values("node")
     sets = list(shingle_sets(pa.array(rows.text, pa.large_string())))
     return _edges(rows.node.to_numpy(), connect(len(rows), linked_sets(sets)))
 
@@ -228,7 +228,11 @@ def families(nodes: DataFrame) -> DataFrame:
     every = judged.join(sizes, "key")
     groups = _meet(every.where("NOT near"), every, "key").join(sig, "node")
     more = groups.groupBy("key", "r", "e").applyInPandas(_near_edges, "a bigint, b bigint")
-    return components(ties.unionByName(more.distinct())).withColumnRenamed("root", "family")
+    # a node has one smaller neighbour per key at most: tie it to the least, and the others to that one
+    stars = ties.unionByName(more).groupBy("a").agg(F.collect_set("b").alias("all")).withColumn("b", F.array_min("all"))
+    stars = materialize(stars, "stars")
+    others = stars.select(F.explode("all").alias("a"), "b").where("a <> b").distinct()
+    return components(stars.select("a", "b").unionByName(others)).withColumnRenamed("root", "family")
 
 
 def links(family: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
