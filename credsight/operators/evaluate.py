@@ -133,14 +133,15 @@ def threshold_sweep(df: DataFrame, thresholds: list[float], y: str = "y_true", p
     return out.withColumns(metric_columns(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")))
 
 
-def score_counts(df: DataFrame, y: str = "y_true", p: str = "y_prob", by: list[str] | None = None) -> DataFrame:
+def score_counts(df: DataFrame, y: str = "y_true", p: str = "y_prob", slices: int | None = None,
+                 by: list[str] | None = None) -> DataFrame:
     """Per (group, distinct score): pos, neg, the exact counts of rows of the
     group with a lower score (pos_below, neg_below) and group totals P, N.
     See the module notes for the two-level prefix."""
     by = list(by or [])
     g = (df.filter(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("score"))
          .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")))
-    g = g.repartitionByRange("score").withColumn("slice", F.spark_partition_id())
+    g = g.repartitionByRange(*([slices] if slices else []), "score").withColumn("slice", F.spark_partition_id())
     # Both passes below must see the same slices, and the scan must not run twice:
     # materialise the (distinct-score) table once in the shared checkpoint folder.
     ensure_checkpoint_dir(df.sparkSession)
@@ -166,7 +167,7 @@ def score_counts(df: DataFrame, y: str = "y_true", p: str = "y_prob", by: list[s
                       (F.col("pre_neg") + F.col("in_neg")).alias("neg_below"), "P", "N")
 
 
-def roc_auc(df: DataFrame, y: str = "y_true", p: str = "y_prob",
+def roc_auc(df: DataFrame, y: str = "y_true", p: str = "y_prob", slices: int | None = None,
             by: list[str] | None = None) -> DataFrame:
     """A7 + A8: exact ROC-AUC (ties count one half) and step-wise average precision.
 
@@ -174,7 +175,7 @@ def roc_auc(df: DataFrame, y: str = "y_true", p: str = "y_prob",
     exact decimal.  AP = sum_s pos(s)/P * precision at threshold s.
     """
     by = list(by or [])
-    sc = score_counts(df, y, p, by)
+    sc = score_counts(df, y, p, slices, by)
     dec = "decimal(38,0)"
     num = (F.col("pos").cast(dec) * (F.lit(2).cast(dec) * F.col("neg_below").cast(dec) + F.col("neg").cast(dec)))
     tp_ge = F.col("P") - F.col("pos_below")

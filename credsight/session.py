@@ -86,7 +86,23 @@ def fresh_scratch(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the shared checkpoint folder (never reused)."""
     import uuid
 
-    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this driver wrote under the shared folder; to be
+    called when the results built on them are consumed.  Returns how many went."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

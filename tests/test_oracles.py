@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from check_oracles import rows_of
+from credsight.plans import ORACLES, QUERIES
 from credsight.plans.views import BASE_TABLES
 
 from .conftest import SF_SMALL
@@ -36,6 +37,15 @@ def test_entry_smoke(spark):
     assert E.entry(spark).count() > 0
 
 
-def test_every_query_has_rows_or_runs(spark):
-    missing = [n for n in E.queries() if n not in E.oracle_sql()]
-    assert all(n.split("_")[0][0] in "SMDFAT" for n in missing)
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_without_oracle_has_rows(spark, name):
+    assert QUERIES[name](spark, SF_SMALL).count() > 0
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    import os
+
+    from credsight.session import drop_scratch, materialize
+
+    path = materialize(spark.range(3), "probe").inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and drop_scratch(spark) >= 1 and not os.path.isdir(path)
