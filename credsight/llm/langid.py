@@ -190,7 +190,9 @@ def identify(docs: DataFrame, pages: DataFrame, languages: list[str], model: np.
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
-    """Language of every document and page; text models fitted on declared documents."""
+    """Language of every document and page; text models fitted on declared documents.  Every row
+    carries an integer doc_id: a page's is -1 - page_id, apart from all documents."""
     docs, pages = C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "pages")
     languages, model = fit_text(docs)
-    return identify(docs, pages, languages, model)
+    out = identify(docs, pages, languages, model)
+    return out.withColumn("doc_id", F.when(F.col("page_id").isNull(), F.col("doc_id")).otherwise(-1 - F.col("page_id")))

@@ -97,7 +97,9 @@ def test_held_out_accuracy_and_query(spark):
     r = out.where("doc_id IS NOT NULL").join(docs.select("doc_id", F.col("lang").alias("want")), "doc_id").agg(
         F.avg((F.col("lang") == F.col("want")).cast("int")).alias("right"), F.avg(F.col("kept").cast("int")).alias("kept")).first()
     assert r.right > 0.98 and r.kept > 0.98
-    assert G.op10_language_id(spark, sf).count() == docs.count() + pages.count()
+    rows = G.op10_language_id(spark, sf)
+    assert rows.count() == docs.count() + pages.count() == rows.select("doc_id").distinct().count()
+    assert rows.where("doc_id IS NULL OR (doc_id < 0) <> (page_id IS NOT NULL)").count() == 0
 
 
 def test_nothing_declared_and_empty(spark, docs_of):
