@@ -57,8 +57,8 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
     path, pattern = tokenizers.path(bpe.VOCABULARY), tokenizers.PATTERN
-    ids = bpe.encode(docs, path, pattern, keep=["doc_id", "lang", "source"])
-    return (bpe.decode(ids, path, pattern).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    ids = bpe.round_trip(docs, path, pattern, keep=["doc_id", "lang", "source"])
+    return (ids.withColumn("decoded_sha256", F.sha2("decoded", 256))
             .select("doc_id", "lang", "source", "n_tokens", "token_ids", "decoded_sha256"))
 
 

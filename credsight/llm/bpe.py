@@ -32,7 +32,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField
 
 from . import common as C
 
-CACHE_PIECES = 1_000_000        # pieces a worker remembers before it starts afresh
+CACHE_PIECES = 100_000          # pieces a worker remembers in each of two generations
 CACHE_CHARS = 64                # longer pieces are encoded but not remembered
 FIRST_STAND_IN = 0x4E00         # stand-in of byte b is chr(FIRST_STAND_IN + b): letters, never white space
 
@@ -79,15 +79,22 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
 
 
 class _Pieces(dict):
-    """Ids of the pieces met so far: " " + key (a piece that follows a space)."""
+    """Ids of pieces met lately: " " + key (a piece that follows a space).  A full
+    generation becomes the old one; pieces still in use come back from it."""
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.old = encode, {}
+
+    def known(self, piece: str) -> bytes | None:
+        return self.get(piece) or self.old.get(piece)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(" " + piece)
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.encode(" " + piece)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_PIECES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -105,14 +112,13 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         self.id_of = np.array([0xFFFFFFFF, *sorted(ranks.values())], dtype="<u4")
         self.ids_of = {t: struct.pack("<I", r) for t, r in ranks.items()}
-        self.bytes_of = {r: t for t, r in ranks.items()}
         self.table = [chr(FIRST_STAND_IN + b) for b in range(256)]
         self.pieces = _Pieces(self.encode_piece)
 
     def encode_token(self, token: str) -> bytes:
         """Ids of one pre-token: itself if it is a token, else by the model's merges."""
         raw = token.encode()
-        ids = self.ids_of.get(raw) or (self.pieces.get(token[1:]) if token[0] == " " else None)
+        ids = self.ids_of.get(raw) or (self.pieces.known(token[1:]) if token[0] == " " else None)
         if ids is None:
             ids = self.id_of[self.model.encode("".join(map(self.table.__getitem__, raw)))].tobytes()
         return ids
@@ -132,21 +138,28 @@ class Codec:
         first, *rest = text.split(" ")
         return self.encode_piece(first) + b"".join(map(self.pieces.__getitem__, rest))
 
+
+class Decoder:
+    """The inverse mapping of one process."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str = ""):
+        self.bytes_of = {r: t for t, r in ranks.items()}
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_CODECS: dict[tuple[str, int], Codec] = {}
+_MADE: dict[type, tuple] = {}
 
 
-def _codec(shared, pattern: str) -> Codec:
-    """The codec of this worker process, made at its first use."""
+def _of_worker(kind: type, shared, pattern: str):
+    """The codec or decoder of this worker process, made at its first use."""
     ranks = shared.value
-    key = (pattern, id(ranks))
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(ranks, pattern)
-    return _CODECS[key]
+    key, made = _MADE.get(kind, (None, None))
+    if key != (pattern, id(ranks)):
+        made = kind(ranks, pattern)
+        _MADE[kind] = (pattern, id(ranks)), made
+    return made
 
 
 def shared_ranks(df: DataFrame, path: str):
@@ -161,7 +174,7 @@ def encode(df: DataFrame, path: str, pattern: str, keep: list[str] | None = None
     fields = [StructField("token_ids", BinaryType()), StructField("n_tokens", LongType())]
 
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
-        codec = _codec(ranks, pattern)
+        codec = _of_worker(Codec, ranks, pattern)
         ids = [codec.encode(t) for t in C.texts_of(batch, text)]
         return [pa.array(ids, pa.large_binary()).cast(pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
 
@@ -174,13 +187,28 @@ def decode(df: DataFrame, path: str, pattern: str, keep: list[str] | None = None
     keep = df.columns if keep is None else keep
 
     def fn(batch: pa.RecordBatch) -> list[pa.Array]:
-        codec = _codec(ranks, pattern)
+        codec = _of_worker(Decoder, ranks, pattern)
         ids = batch.column(batch.schema.get_field_index("token_ids")).to_pylist()
         return [pa.array([codec.decode(x or b"") for x in ids], pa.binary())]
 
     return C.map_rows(df, keep, [StructField("decoded", BinaryType())], fn)
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: adds ``token_ids``, ``n_tokens`` and ``decoded``."""
+    ranks = shared_ranks(df, path)
+    keep = df.columns if keep is None else keep
+    fields = [StructField("token_ids", BinaryType()), StructField("n_tokens", LongType()), StructField("decoded", BinaryType())]
+
+    def fn(batch: pa.RecordBatch) -> list[pa.Array]:
+        codec, decoder = _of_worker(Codec, ranks, pattern), _of_worker(Decoder, ranks, pattern)
+        ids = [codec.encode(t) for t in C.texts_of(batch, text)]
+        return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array([decoder.decode(x) for x in ids], pa.binary())]
+
+    return C.map_rows(df, keep, fields, fn)
+
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -189,7 +217,6 @@ def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     docs = C.read(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode(docs, P.path(VOCABULARY), P.PATTERN, keep=["doc_id"])
-    back = decode(ids, P.path(VOCABULARY), P.PATTERN)
+    back = round_trip(docs, P.path(VOCABULARY), P.PATTERN, keep=["doc_id"])
     return back.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -57,11 +57,21 @@ def map_rows(df: DataFrame, keep: list[str], fields: list[StructField],
                 made = [a.cast(arrow.field(len(kept) + i).type) for i, a in enumerate(fn(b))]
                 old = [b.column(b.schema.get_field_index(c)).cast(arrow.field(i).type) for i, c in enumerate(kept)]
                 yield pa.RecordBatch.from_arrays(old + made, schema=arrow)
+        pa.default_memory_pool().release_unused()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of at most ``rows`` rows: a batch of long texts must
+    fit in a worker beside the arrays made of it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a piece hold about ``most`` bytes (one row at least)."""
     at = batch.schema.get_field_index(text)
     if at < 0 or batch.num_rows < 2:

@@ -65,6 +65,7 @@ def fit_text(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.n
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["at", "n"])
 
+    C.small_batches(docs.sparkSession)
     rows = sample.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
     sums = np.zeros(len(languages) * BUCKETS)
     for r in rows:

@@ -282,6 +282,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """row_key, doc_id, n_shingles, component_id and kept of every document."""
+    C.small_batches(docs.sparkSession)
     sketches = materialize(sketch(docs), "sketches")
     nodes = (sketches.where("n_shingles > 0").groupBy("set_key")
              .agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("lowest"),

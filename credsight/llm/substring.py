@@ -157,6 +157,7 @@ def _hot_windows(hot: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """row_key and spans (first word and end of the words to remove) of every document that has any."""
+    C.small_batches(docs.sparkSession)
     every = runs(docs)
     shared = every.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     some = materialize(every.join(shared, "key"), "runs")
