@@ -32,8 +32,9 @@ from pyspark.sql.types import BinaryType, LongType, StructField
 
 from . import common as C
 
-CACHE_PIECES = 100_000          # pieces a worker remembers in each of two generations
+CACHE_PIECES = 300_000          # pieces a worker remembers in each of two generations
 CACHE_CHARS = 64                # longer pieces are encoded but not remembered
+MARKS = frozenset(".,;:!?")      # a word and one of these behind it are two pre-tokens
 FIRST_STAND_IN = 0x4E00         # stand-in of byte b is chr(FIRST_STAND_IN + b): letters, never white space
 
 
@@ -90,8 +91,10 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
-        if ids is None:
-            ids = self.encode(" " + piece)
+        if ids is None and piece[-1:] in MARKS and piece[:-1].isalpha():
+            ids = self[piece[:-1]] + self.encode(piece[-1], False)
+        elif ids is None:
+            ids = self.encode(piece, True)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_PIECES:
                 self.old = dict(self)
@@ -110,19 +113,25 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.loose_space = regex.compile(r" (?:\s|\Z)").search
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
-        self.id_of = np.array([0xFFFFFFFF, *sorted(ranks.values())], dtype="<u4")
+        self.id_of = [b"", *(struct.pack("<I", r) for r in sorted(ranks.values()))]
         self.ids_of = {t: struct.pack("<I", r) for t, r in ranks.items()}
         self.table = [chr(FIRST_STAND_IN + b) for b in range(256)]
-        self.pieces = _Pieces(self.encode_piece)
+        self.pieces = _Pieces(self.encode_part)
 
     def encode_token(self, token: str) -> bytes:
         """Ids of one pre-token: itself if it is a token, else by the model's merges."""
         raw = token.encode()
         ids = self.ids_of.get(raw) or (self.pieces.known(token[1:]) if token[0] == " " else None)
         if ids is None:
-            ids = self.id_of[self.model.encode("".join(map(self.table.__getitem__, raw)))].tobytes()
+            ids = b"".join(map(self.id_of.__getitem__, self.model.encode("".join(map(self.table.__getitem__, raw)))))
         return ids
 
+    def encode_part(self, piece: str, after_space: bool) -> bytes:
+        """Ids of ``piece``, with the space before it or without.  Letters alone are one
+        pre-token; anything else goes through the pattern."""
+        text = " " + piece if after_space else piece
+        return self.encode_token(text) if piece.isalpha() else self.encode_piece(text)
+
     def encode_piece(self, text: str) -> bytes:
         return b"".join(map(self.encode_token, self.find(text)))
 

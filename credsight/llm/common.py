@@ -148,8 +148,6 @@ class Words:
         raw = col.buffers()[2]
         data = np.frombuffer(raw, dtype=np.uint8)[off[0]:off[n]] if raw is not None and n else np.zeros(0, np.uint8)
         off = off - off[0] if n else np.zeros(1, np.int64)
-        if col.null_count:                       # a null text has no bytes of its own in Arrow
-            pass
         self.data, self.offsets, self.rows = data, off, n
         inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
         begins = inside.copy()
