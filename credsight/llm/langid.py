@@ -2,9 +2,9 @@
 
 Four pieces of evidence are multiplied: the likelihood of the text under one
 multinomial of hashed byte n-grams per language, the declared markup language,
-the address suffix, and the prior of the host.  Text models are fitted on at
-most ``FIT_ROWS`` declared documents, in the order of a hash of the id.  The
-other tables are grouped aggregates over all rows, of the language that the text
+the address suffix, and the prior of the host.  Text models count all declared
+documents; every declared language (trimmed, in lower case) has one.  The other
+tables are grouped aggregates over all rows, of the language that the text
 alone gives: declared given language, suffix given language, and host counts,
 smoothed towards the registered domain, that towards the suffix, and that
 towards all rows (``PRIOR_ROWS`` rows' worth at each step).
@@ -19,8 +19,9 @@ table gives an empty table; without any declared document all is ``und``.
 
 Scale: texts are read where they lie and leave only one number per language.
 Host, suffix and declaration tables are pre-aggregated and joined by key, so that
-a host of a third of all rows is split by the join.  The text models (languages x
-``BUCKETS`` numbers, at most ``MOST_LANGUAGES`` languages) are broadcast.
+a host of a third of all rows is split by the join.  Fitting is one more scan: a task
+adds up its n-grams per language (``HELD`` languages at a time).  The text models
+(languages x ``BUCKETS`` numbers, 0.5 MB a language) are broadcast.
 """
 
 from __future__ import annotations
@@ -37,41 +38,56 @@ from ..session import materialize
 from . import common as C
 from .quality import BUCKETS, GRAM, gram_buckets
 
-FIT_ROWS, MOST_LANGUAGES, SMOOTH = 20_000, 50, 0.5
+HELD, SMOOTH = 64, 0.5
 PRIOR_ROWS, CONFIDENT, FLOOR = 20.0, 0.5, 0.5
 UNKNOWN = "und"
 
 
-def fit_text(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probability per bucket (languages x BUCKETS).  Only the
-    aggregated counts come to the driver."""
-    declared = docs.where(F.col("lang").isNotNull() & (F.trim("lang") != ""))
-    top = declared.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES)
-    languages = sorted(r.lang for r in top.collect())
-    if not languages:
-        return [], np.zeros((0, BUCKETS))
-    ids = declared.where(F.col("lang").isin(languages)).select("doc_id", "lang").where("doc_id IS NOT NULL").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(fit_rows)
-    number = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1
-    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("text", number.cast("int").alias("k"))
+def declared_language() -> Column:
+    """The declared language of a document: trimmed, in lower case, null for none."""
+    return F.lower(F.nullif(F.trim("lang"), F.lit("")))
+
+
+def fit_text(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages and their log probability per bucket (languages x BUCKETS), counted over all
+    declared documents.  Only the aggregated counts come to the driver."""
+    declared = docs.select("text", declared_language().alias("lang")).where("lang IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(languages) * BUCKETS, dtype=np.int64)
+        sums: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, n in sums.items():
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(n[some])],
+                                                 names=["lang", "bucket", "n"])
+            sums.clear()
+
         for whole in batches:
             for b in C.pieces(whole):
+                b = b.sort_by("lang")              # the n-grams of a language lie side by side
                 h, first = gram_buckets(b.column(0))
-                k = np.repeat(b.column(1).to_numpy().astype(np.int64), np.diff(first))
-                sums += np.bincount(k * BUCKETS + h, minlength=len(sums))
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["at", "n"])
+                runs = b.column(1).to_pylist()
+                starts = [i for i, x in enumerate(runs) if not i or x != runs[i - 1]]
+                for i, j in zip(starts, [*starts[1:], len(runs)]):
+                    if runs[i] not in sums and len(sums) == HELD:
+                        yield from told()          # part of the counts; they are added up below
+                    n = np.bincount(h[first[i]:first[j]], minlength=BUCKETS)
+                    sums[runs[i]] = sums[runs[i]] + n if runs[i] in sums else n
+        yield from told()
 
     C.small_batches(docs.sparkSession)
-    rows = sample.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    sums = np.zeros(len(languages) * BUCKETS)
-    for r in rows:
-        sums[r["at"]] = r.n
-    sums = sums.reshape(len(languages), BUCKETS) + SMOOTH
-    return languages, np.log(sums / sums.sum(axis=1, keepdims=True))
+    counts = (declared.mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket")
+              .agg(F.sum("n").alias("n")).toArrow())
+    codes = counts.column("lang").combine_chunks().dictionary_encode()
+    names = codes.dictionary.to_pylist()
+    languages = sorted(names)
+    place = np.array([languages.index(x) for x in names], dtype=np.int64)
+    sums = np.full((len(languages), BUCKETS), SMOOTH)
+    if languages:
+        sums[place[codes.indices.to_numpy()], counts.column("bucket").to_numpy()] += counts.column("n").to_numpy()
+    sums /= sums.sum(axis=1, keepdims=True)
+    return languages, np.log(sums, out=sums)
 
 
 def text_scores(rows: DataFrame, languages: list[str], model: np.ndarray, keep: list[str]) -> DataFrame:
@@ -97,8 +113,9 @@ def text_scores(rows: DataFrame, languages: list[str], model: np.ndarray, keep:
 
 def _counts(rows: DataFrame, keys: list[str], languages: list[str], out: str) -> DataFrame:
     """Per key: rows of each language (by text), as an array."""
-    per = [F.count_if(F.col("text_lang") == x).cast("double") for x in languages]
-    return rows.groupBy(*keys).agg(F.array(*per).alias(out))
+    per = rows.where("text_lang IS NOT NULL").groupBy(*keys, "text_lang").agg(F.count("*").cast("double").alias("_n"))
+    per = per.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("text_lang", "_n"))).alias("_per"))
+    return per.select(*keys, F.transform(F.lit(languages), lambda x: F.coalesce(F.try_element_at("_per", x), F.lit(0.0))).alias(out))
 
 
 def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
@@ -182,7 +199,7 @@ def identify(docs: DataFrame, pages: DataFrame, languages: list[str], model: np.
     """doc_id, page_id, lang, confidence and kept of all documents and pages.  A document's host
     is its source; it has no address."""
     none = F.lit(None).cast("string")
-    d = docs.select("doc_id", F.lit(None).cast("bigint").alias("page_id"), "text", F.lower(F.nullif(F.trim("lang"), F.lit(""))).alias("declared"),
+    d = docs.select("doc_id", F.lit(None).cast("bigint").alias("page_id"), "text", declared_language().alias("declared"),
                     F.col("source").alias("host"), F.col("source").alias("domain"), none.alias("suffix"))
     p = page_evidence(pages).select(F.lit(None).cast("bigint").alias("doc_id"), "page_id", "text", "declared", "host", "domain", "suffix")
     keep = ["doc_id", "page_id", "declared", "host", "domain", "suffix"]

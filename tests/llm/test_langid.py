@@ -9,6 +9,7 @@ from .conftest import ODD_TEXTS
 from .test_quality import brute_buckets
 
 PAGES = "page_id bigint, url string, html string, lang string"
+TEXTS = "doc_id bigint, text string, lang string, source string"
 
 
 def page(i, url, html):
@@ -112,3 +113,26 @@ def test_nothing_declared_and_empty(spark, docs_of):
     languages, model = G.fit_text(one)
     assert G.identify(one, pages, languages, model).count() == 3
     assert G.identify(one.limit(0), pages, languages, model).count() == 0
+
+
+def test_rare_language_beside_a_hot_one(spark):
+    """Every declared row counts: the model of a rare language doesn't depend on how many others there are."""
+    hot = spark.range(30_000).selectExpr("id AS doc_id", "concat('the river and the town ', id) AS text", "'en' AS lang", "'s' AS source")
+    rare = spark.createDataFrame([(100_000 + i, "zyx wvu tsr qpo " * 3, "Zz " if i % 2 else "zz", "s") for i in range(4)], TEXTS)
+    languages, model = G.fit_text(hot.unionByName(rare))
+    want = np.bincount(brute_buckets("zyx wvu tsr qpo " * 3), minlength=BUCKETS) * 4 + G.SMOOTH
+    assert languages == ["en", "zz"] and np.allclose(model[1], np.log(want / want.sum()))
+    asked = spark.createDataFrame([(1, "zyx wvu tsr", None, None), (2, "the town and the river", None, None)], TEXTS)
+    got = G.identify(asked, spark.createDataFrame([], PAGES), languages, model).collect()
+    assert {r.doc_id: r.lang for r in got} == {1: "zz", 2: "en"}
+
+
+def test_many_languages(spark, docs_of):
+    """No cap: each of 130 languages is found, also from upper-case declarations; tasks hold 64 at a time."""
+    rng = np.random.default_rng(5)
+    words = {f"l{k:03}": " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(12)) for k in range(130)}
+    docs = docs_of([(i, t, x.upper() if i % 2 else x, f"s{i % 3}") for i, (x, t) in enumerate([*words.items()] * 2)], 1)
+    languages, model = G.fit_text(docs)
+    assert languages == sorted(words)
+    got = G.identify(docs.withColumn("lang", F.lit(None).cast("string")), spark.createDataFrame([], PAGES), languages, model).collect()
+    assert len(got) == 260 and {r.doc_id: r.lang for r in got} == {i: x for i, x in enumerate([*words] * 2)}
