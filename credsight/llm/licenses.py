@@ -1,18 +1,17 @@
 """Licence scans: a trained paragraph classifier and a comparison with templates.
 
 Paragraphs (lines) are described by the word n-grams (1 to 3) of a vocabulary that
-comes from the licence templates.  A paragraph that names no licence matter at all
-(none of the cue words) has no n-grams by definition.  A sparse multinomial
-logistic regression tells licence families apart from everything else; the class of everything else is calibrated: a family is only
-predicted above the probability that all but ``FALSE_SHARE`` of the held-out other
+comes from the licence templates; hyphens part words.  A sparse multinomial logistic regression tells licence families apart from everything else; the class of
+everything else is calibrated: a family is only predicted above the probability that all but ``FALSE_SHARE`` of the held-out other
 paragraphs stay under.  A prediction is confirmed when the paragraph contains
 ``CONFIRM`` of the word pairs of one of the family's templates.
 
 The model is trained here on the templates and paragraphs made from them by rule
-(kept whole, cut, framed, shuffled into nonsense), a few hundred rows whatever
-the input.  A paragraph without a cue word is an empty vector, whose class is
-"other": such paragraphs needn't be scored, and texts without a cue are left out
-by a single expression.
+(kept whole, cut, framed, shuffled into nonsense, taken as single words), some
+hundred rows whatever the input.  The fitted weights say which paragraphs can't
+reach a family: without any of the ``needed`` words, all the n-grams that remain,
+together, leave every family under the threshold.  Texts and lines without such a
+word are left out by one expression, with the result of scoring them all.
 
 Defined cases: a null or empty text has no findings; repeated paragraphs are
 findings of their own; rows may repeat; an empty table gives an empty table; a
@@ -25,34 +24,35 @@ joined back to the ids.  Templates and model have fixed sizes.
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.retrieval import stop_words
 from . import common as C
 
 OTHER = "other"
 FALSE_SHARE, LEAST, CONFIRM, SEED = 0.01, 0.5, 0.8, 7
-TOKEN = r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"
-CUES = ["licen[sc]e[sd]?", "licen[sc]ing", "copyright(?:ed|s)?", "copyleft", "reserved", "warrant(?:y|ies)", "permissions?",
-        "redistributions?", "redistributed?", "spdx(?:-license-identifier)?", "unlicen[sc]ed?", "gpl(?:-?v?\\d.*)?", "lgpl.*", "agpl.*",
-        "cc0.*", "cc-by.*", "proprietary", "confidential"]
-CUE_WORD = "(?:" + "|".join(CUES) + ")"
-# what the cue words above start with or contain: no token without it can be a cue
-CUE_HINT = "(?i)licen[sc]|copy(?:right|left)|reserved|warrant|permission|redistribut|spdx|gpl|cc0|cc-by|proprietary|confidential"
+TOKEN = r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*"
 
 TEMPLATES = {
     "mit": ["Released under the MIT License.", "Licensed under the MIT license.", "This project is licensed under the MIT License.",
             "SPDX-License-Identifier: MIT", "The MIT License (MIT)",
+            "MIT-licensed.", "The code is MIT-licensed.", "publish, distribute, sublicense, and/or sell copies",
+            "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0",
                    "Apache License Version 2.0, January 2004",
                    "You may not use this file except in compliance with the License. You may obtain a copy of the License"],
     "bsd": ["Licensed under the BSD 3-Clause License.", "Released under the BSD license.", "SPDX-License-Identifier: BSD-3-Clause",
+            "BSD-licensed.", "The code is BSD-licensed.",
             "Redistribution and use in source and binary forms, with or without modification, are permitted"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.", "Released under the GNU GPL version 2 or later.",
             "SPDX-License-Identifier: GPL-3.0-or-later", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
@@ -60,10 +60,14 @@ TEMPLATES = {
     "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
     "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "public-domain": ["This is free and unencumbered software released into the public domain without copyright.",
+    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+            "Creative Commons Attribution 4.0 International"],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+            "Creative Commons Attribution-ShareAlike 4.0 International"],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+            "Creative Commons Attribution-NonCommercial 4.0 International"],
+    "public-domain": ["This is free and unencumbered software released into the public domain.",
+                      "This work is in the public domain.", "Released into the public domain by the authors.", "Dedicated to the public domain.",
                       "Released into the public domain under CC0 1.0, no rights reserved.", "SPDX-License-Identifier: CC0-1.0"],
     "all-rights": ["All rights reserved.", "Copyright. All rights reserved.", "Proprietary and confidential. All rights reserved.",
                    "No part of this publication may be reproduced without prior written permission of the publisher."],
@@ -74,7 +78,9 @@ OTHERS = ["The driver showed a licence to the officer.", "She asked for permissi
           "Seats are reserved for members of the club.", "Copyright law is taught in the second year.", "The court discussed copyright and patents.",
           "Redistribution of wealth was the topic of the debate.", "The confidential letter was read aloud.", "A proprietary blend of herbs and spices.",
           "Licensing fees rose again this year.", "The pub lost its license after the complaint.", "Rights were reserved to the states by the amendment.",
-          "No license plate was found at the scene.", "Your warranty does not cover water damage.", "The planning permission expired last week."]
+          "No license plate was found at the scene.", "Your warranty does not cover water damage.", "The planning permission expired last week.",
+          "Er kam mit der Bahn und ging mit dem Hund nach Hause.", "She studied at MIT and works in the public sector.",
+          "The public domain name was sold.", "A creative person is free to work under this version of the plan."]
 
 
 def tokens(line: Column) -> Column:
@@ -87,15 +93,17 @@ def _runs(tok: Column, n: int) -> Column:
 
 
 def with_grams(df: DataFrame) -> DataFrame:
-    """Columns pairs (2-grams) and grams (1- to 3-grams; none without a cue word) of the column line."""
+    """Columns pairs (2-grams) and grams (1- to 3-grams) of the column line."""
     def made(tok: Column) -> Column:
-        cued = F.exists(tok, lambda t: t.rlike(f"^{CUE_WORD}$"))
-        return C.let(_runs(tok, 2), lambda pairs: F.struct(pairs.alias("pairs"), F.when(cued, F.concat(tok, pairs, _runs(tok, 3))).otherwise(
-            F.array().cast("array<string>")).alias("grams")))
+        return C.let(_runs(tok, 2), lambda pairs: F.struct(pairs.alias("pairs"), F.concat(tok, pairs, _runs(tok, 3)).alias("grams")))
 
     return df.withColumn("_made", C.let(tokens(F.col("line")), made)).withColumns({"pairs": F.col("_made.pairs"), "grams": F.col("_made.grams")}).drop("_made")
 
 
+def _words(line: str) -> list[str]:
+    return re.findall(r"\w+(?:\.\w+)*", line.lower())
+
+
 def training_rows(seed: int = SEED) -> list[tuple[str, str, bool]]:
     """(line, family, held out) made from the templates by rule."""
     rng, rows = random.Random(seed), []
@@ -104,13 +112,22 @@ def training_rows(seed: int = SEED) -> list[tuple[str, str, bool]]:
             for frame in FRAMES:
                 rows.append((frame.format(line), family))
                 rows.append((frame.format(line.rstrip(".").lower()), family))
-            words = line.split()
+            words = _words(line)
+            pairs = set(zip(words, words[1:]))
             for _ in range(6 * (len(words) > 3)):    # the same words out of order are no licence
-                rng.shuffle(words)
-                rows.append((" ".join(words[: max(2, len(words) // 2)]), OTHER))
-            if len(words) > 8:
-                rows.append((" ".join(line.split()[: len(words) * 3 // 4]), family))
+                for _ in range(40):
+                    rng.shuffle(words)
+                    if not pairs & set(zip(words, words[1:])):
+                        rows.append((" ".join(words[: max(2, len(words) // 2)]), OTHER))
+                        break
+            if len(line.split()) > 8:
+                rows.append((" ".join(line.split()[: len(line.split()) * 3 // 4]), family))
     rows += [(frame.format(x), OTHER) for x in OTHERS for frame in FRAMES] + [("", OTHER)] * 40
+    words = sorted({w for lines in TEMPLATES.values() for line in lines for w in _words(line)})
+    rows += [(w, OTHER) for w in words]         # nor is a word alone, any number of them, or a pair that families share
+    shared = Counter(p for lines in TEMPLATES.values() for p in {p for line in lines for p in zip(_words(line), _words(line)[1:])})
+    rows += [(" ".join(p), OTHER) for p in sorted(shared) if shared[p] > 1 for _ in range(3)]
+    rows += [(" ".join(rng.sample(words, n)), OTHER) for n in (5, 10, 20, 40, 80, len(words)) for _ in range(20)]
     rng.shuffle(rows)
     return [(line, family, i % 4 == 0) for i, (line, family) in enumerate(rows)]
 
@@ -124,6 +141,29 @@ class Scanner:
     regression: LogisticRegressionModel
     threshold: float
 
+    def needed(self) -> list[str]:
+        """Words one of which is in every paragraph that a family can be predicted for."""
+        names = self.vector.vocabulary
+        weights, b = self.regression.coefficientMatrix.toArray(), self.regression.interceptVector.toArray()
+        gain = np.maximum(weights[1:] - weights[0], 0.0)            # over the class of everything else
+        room = np.log(self.threshold / (1 - self.threshold)) - (b[1:] - b[0]) - 1e-6
+        parts = [set(g.split(" ")) for g in names]
+        total = {w: max(gain[:, [w in p for p in parts]].sum(axis=1)) for w in set().union(*parts)}
+        common = set(stop_words())
+        free: set[str] = set()
+        for w in sorted(total, key=lambda w: (w not in common, -total[w] if w in common else total[w], w)):    # what together stays under the room
+            if (gain[:, [p <= free | {w} for p in parts]].sum(axis=1) < room).all():
+                free.add(w)
+        return sorted(set(total) - free)
+
+    def possible(self, text: Column) -> Column:
+        """Whether the text has a needed word."""
+        first: dict[str, list[str]] = {}
+        for w in self.needed():
+            first.setdefault(w[0], []).append(re.escape(w[1:]))
+        some = "|".join(f"{k}(?:{'|'.join(rest)})" for k, rest in sorted(first.items()))
+        return F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{some})(?![\p{{L}}\p{{N}}])")
+
     def classify(self, lines: DataFrame) -> DataFrame:
         """Adds family and probability (of the best family, other included) to rows with grams."""
         out = self.regression.transform(self.vector.transform(lines))
@@ -165,10 +205,10 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """row_key, paragraph (number of the line, from 0), family, probability, similarity and
     confirmed of every paragraph that a family is predicted for."""
     spark = docs.sparkSession
-    cued = docs.where(F.col("text").rlike(CUE_HINT)).select(C.row_key("doc_id", "text").alias("row_key"), "text")
-    lines = (cued.select("row_key", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
-             .where(F.col("line").rlike(CUE_HINT)))
-    found = scanner.classify(with_grams(lines).where(F.size("grams") > 0)).where(F.col("family") != OTHER)
+    some = docs.where(scanner.possible(F.col("text"))).select(C.row_key("doc_id", "text").alias("row_key"), "text")
+    lines = (some.select("row_key", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
+             .where(scanner.possible(F.col("line"))))
+    found = scanner.classify(with_grams(lines)).where(F.col("family") != OTHER)
     t = F.broadcast(_templates(spark))                # a few dozen rows, fixed
     near = F.size(F.array_intersect("pairs", "template_pairs")) / F.size("template_pairs")
     return (found.join(t, F.col("family") == F.col("template_family")).withColumn("similarity", near)

@@ -46,3 +46,26 @@ def test_query(spark):
     assert all(r.n_found == r.n_confirmed for r in rows)
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_paragraphs_without_a_cue_word(docs_of, scanner):
+    """No hand-made list decides before the classifier: public domain, Creative Commons and hyphenated statements."""
+    want = {1: ("This is free and unencumbered software released into the public domain.", "public-domain"),
+            2: ("This work is in the public domain.", "public-domain"), 3: ("Creative Commons Attribution 4.0 International", "cc-by"),
+            4: ("MIT-licensed", "mit"), 5: ("The parser is MIT-licensed.", "mit"), 6: ("All our code is BSD-licensed, too.", "bsd"),
+            7: ("publish, distribute, sublicense, and/or sell copies", "mit"), 8: ("Creative Commons Attribution-ShareAlike 4.0 International", "cc-by-sa")}
+    prose = {20: "Er kam mit der Bahn, sie ging mit dem Rad.", 21: "She works in the public sector and is free to sell the software.", 22: "word of the this public domain name " * 400}
+    found = L.scan(docs_of([(i, t) for i, (t, _) in want.items()] + [*prose.items()]), scanner)
+    key = {r.k: r.doc_id for r in docs_of([(i, t) for i, (t, _) in want.items()] + [*prose.items()]).select("doc_id", L.C.row_key("doc_id", "text").alias("k")).collect()}
+    assert {key[r.row_key]: r.family for r in found.collect()} == {i: f for i, (_, f) in want.items()}
+
+
+def test_prefilter_loses_nothing(spark, scanner):
+    """A line without a needed word is other when scored, whatever words of the vocabulary it has."""
+    words = sorted({w for g in scanner.vector.vocabulary for w in g.split(" ")})
+    free = [w for w in words if w not in scanner.needed()]
+    lines = [" ".join(w for w in line.lower().replace("-", " ").split() if w.strip(".,()") in free) for line, _, _ in L.training_rows()]
+    lines += [" ".join(free), *[" ".join(g for g in scanner.vector.vocabulary if set(g.split(" ")) <= set(free))]]
+    rows = spark.createDataFrame([(x,) for x in lines + [line for line, _, _ in L.training_rows()]], "line string").coalesce(1)
+    out = scanner.classify(L.with_grams(rows)).withColumn("possible", scanner.possible(F.col("line"))).collect()
+    assert not any(r.family != L.OTHER and not r.possible for r in out) and any(not r.possible for r in out)
