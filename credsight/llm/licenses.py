@@ -1,17 +1,25 @@
 """Licence scans: a trained paragraph classifier and a comparison with templates.
 
-Paragraphs (lines) are described by the word n-grams (1 to 3) of a vocabulary that
-comes from the licence templates; hyphens part words.  A sparse multinomial logistic regression tells licence families apart from everything else; the class of
-everything else is calibrated: a family is only predicted above the probability that all but ``FALSE_SHARE`` of the held-out other
-paragraphs stay under.  A prediction is confirmed when the paragraph contains
-``CONFIRM`` of the word pairs of one of the family's templates.
+Paragraphs are the lines, and the joined lines of every stretch of lines that have
+a letter or digit.  They are described by the word n-grams (1 to 3) of a vocabulary
+that comes from the licence templates; hyphens part words.  A sparse multinomial
+logistic regression tells licence families apart from everything else; the class of
+everything else is calibrated: a family is only predicted above the probability that
+all but ``FALSE_SHARE`` of the held-out other paragraphs stay under.  A prediction is
+confirmed when the paragraph contains ``CONFIRM`` of the word pairs of one of the
+family's templates.  Joined lines are also found, and confirmed, for a family that
+isn't the predicted one, when they contain all pairs of a template of ``LONG`` pairs.
+
+Joined lines add what their lines don't tell: a confirmed family that no line
+confirms (it replaces the likely ones of its lines), or a likely one where no line
+has any finding.
 
 The model is trained here on the templates and paragraphs made from them by rule
 (kept whole, cut, framed, shuffled into nonsense, taken as single words), some
 hundred rows whatever the input.  The fitted weights say which paragraphs can't
-reach a family: without any of the ``needed`` words, all the n-grams that remain,
-together, leave every family under the threshold.  Texts and lines without such a
-word are left out by one expression, with the result of scoring them all.
+reach a family: without any of the ``needed`` words and word pairs, all the n-grams
+that remain, together, leave every family under the threshold.  Text without any of
+them is left out by one expression, with the result of scoring it all.
 
 Defined cases: a null or empty text has no findings; repeated paragraphs are
 findings of their own; rows may repeat; an empty table gives an empty table; a
@@ -26,20 +34,21 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.retrieval import stop_words
 from . import common as C
 
 OTHER = "other"
-FALSE_SHARE, LEAST, CONFIRM, SEED = 0.01, 0.5, 0.8, 7
+FALSE_SHARE, LEAST, CONFIRM, LONG, SEED = 0.01, 0.5, 0.8, 4, 7
 TOKEN = r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*"
 
 TEMPLATES = {
@@ -126,7 +135,10 @@ def training_rows(seed: int = SEED) -> list[tuple[str, str, bool]]:
     words = sorted({w for lines in TEMPLATES.values() for line in lines for w in _words(line)})
     rows += [(w, OTHER) for w in words]         # nor is a word alone, any number of them, or a pair that families share
     shared = Counter(p for lines in TEMPLATES.values() for p in {p for line in lines for p in zip(_words(line), _words(line)[1:])})
-    rows += [(" ".join(p), OTHER) for p in sorted(shared) if shared[p] > 1 for _ in range(3)]
+    common = set(stop_words())                  # and what has only stop words is none either
+    threes = {p for lines in TEMPLATES.values() for line in lines for p in zip(_words(line), _words(line)[1:], _words(line)[2:])}
+    bare = [p for p in sorted(shared) if shared[p] > 1 or common.issuperset(p)] + [p for p in sorted(threes) if common.issuperset(p)]
+    rows += [(" ".join(p), OTHER) for p in bare for _ in range(3)]
     rows += [(" ".join(rng.sample(words, n)), OTHER) for n in (5, 10, 20, 40, 80, len(words)) for _ in range(20)]
     rng.shuffle(rows)
     return [(line, family, i % 4 == 0) for i, (line, family) in enumerate(rows)]
@@ -142,37 +154,51 @@ class Scanner:
     threshold: float
 
     def needed(self) -> list[str]:
-        """Words one of which is in every paragraph that a family can be predicted for."""
+        """Words and word pairs one of which is in every paragraph that a family can be predicted for."""
         names = self.vector.vocabulary
         weights, b = self.regression.coefficientMatrix.toArray(), self.regression.interceptVector.toArray()
         gain = np.maximum(weights[1:] - weights[0], 0.0)            # over the class of everything else
         room = np.log(self.threshold / (1 - self.threshold)) - (b[1:] - b[0]) - 1e-6
-        parts = [set(g.split(" ")) for g in names]
-        total = {w: max(gain[:, [w in p for p in parts]].sum(axis=1)) for w in set().union(*parts)}
-        common = set(stop_words())
-        free: set[str] = set()
-        for w in sorted(total, key=lambda w: (w not in common, -total[w] if w in common else total[w], w)):    # what together stays under the room
-            if (gain[:, [p <= free | {w} for p in parts]].sum(axis=1) < room).all():
-                free.add(w)
+        parts = []
+        for g in names:
+            w = g.split(" ")
+            parts.append({*w, *(" ".join(x) for x in zip(w, w[1:]))})
+        total = {x: max(gain[:, [x in p for p in parts]].sum(axis=1)) for x in set().union(*parts)}
+        own = {g: float(max(gain[:, i])) for i, g in enumerate(names)}
+        common, free = set(stop_words()), set()
+        prose = common | {w for line in OTHERS for w in _words(line)}
+
+        def order(x: str) -> tuple:                                 # words of prose and pairs of stop words, other words, other pairs
+            return (not (common if " " in x else prose).issuperset(x.split(" ")), " " in x, own.get(x, 0.0), total[x], x)
+
+        for x in sorted(total, key=order):                          # what together stays under the room
+            if (gain[:, [p <= free | {x} for p in parts]].sum(axis=1) < room).all():
+                free.add(x)
         return sorted(set(total) - free)
 
-    def possible(self, text: Column) -> Column:
-        """Whether the text has a needed word."""
-        first: dict[str, list[str]] = {}
-        for w in self.needed():
-            first.setdefault(w[0], []).append(re.escape(w[1:]))
-        some = "|".join(f"{k}(?:{'|'.join(rest)})" for k, rest in sorted(first.items()))
-        return F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{some})(?![\p{{L}}\p{{N}}])")
+    def possible(self) -> Callable[[Column], Column]:
+        """Whether a text has a needed word or pair."""
+        tree: dict[str, dict[str, set[str]]] = {}
+        for x in self.needed():
+            w, _, after = x.partition(" ")
+            tree.setdefault(w[0], {}).setdefault(w[1:], set()).add(after)
+        gap = r"[^\p{L}\p{N}]+"
+
+        def then(after: set[str]) -> str:
+            return "" if "" in after else f"{gap}(?:{'|'.join(re.escape(x) for x in sorted(after))})"
+
+        some = "|".join(f"{k}(?:{'|'.join(re.escape(w) + then(x) for w, x in sorted(rest.items()))})" for k, rest in sorted(tree.items()))
+        return lambda text: F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{some})(?![\p{{L}}\p{{N}}])")
 
     def classify(self, lines: DataFrame) -> DataFrame:
-        """Adds family and probability (of the best family, other included) to rows with grams."""
+        """Adds family, probability (of the best family, other included) and chances (of all) to rows with grams."""
         out = self.regression.transform(self.vector.transform(lines))
         out = out.withColumn("_p", vector_to_array("probability"))
         named = F.array(*[F.lit(f) for f in self.families])
         best = F.array_max("_p")
         family = F.element_at(named, F.array_position("_p", best).cast("int"))
         out = out.withColumn("probability", best).withColumn("family", F.when(best >= self.threshold, family).otherwise(OTHER))
-        return out.drop("_p", "features", "rawPrediction", "prediction")
+        return out.withColumnRenamed("_p", "chances").drop("features", "rawPrediction", "prediction")
 
 
 def fit(spark: SparkSession, seed: int = SEED) -> Scanner:
@@ -201,19 +227,52 @@ def _templates(spark: SparkSession) -> DataFrame:
     return t.select("template_family", F.array_distinct("pairs").alias("template_pairs"))
 
 
+def paragraphs(docs: DataFrame, possible: Callable[[Column], Column]) -> DataFrame:
+    """row_key, block (number of its first line, from 0), paragraph (number of the first line), joined
+    and line of the possible lines and of the joined lines of the possible blocks."""
+    some = docs.where(possible(F.col("text"))).select(C.row_key("doc_id", "text").alias("row_key"), "text")
+    # lines carry their number, so that blocks can be cut apart: two line feeds or more stand between them
+    numbered = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(x.rlike(r"[\p{L}\p{N}]"), F.concat(i.cast("string"), F.lit("\t"), x)).otherwise(""))
+    blocks = some.select("row_key", F.explode(F.split(F.array_join(numbered, "\n"), "\n{2,}")).alias("_block"))
+    blocks = blocks.withColumn("joined", F.regexp_replace("_block", r"(?md)^[0-9]+\t", "")).where(possible(F.col("joined")))
+
+    def unit(at: Column, joined: bool, line: Column) -> Column:
+        return F.struct(at.cast("int").alias("paragraph"), F.lit(joined).alias("joined"), line.alias("line"))
+
+    def one(x: Column) -> Column:
+        at = F.substring_index(x, "\t", 1)
+        return unit(at, False, F.substring(x, F.length(at) + 2, F.length(x)))
+
+    whole = F.regexp_replace("_block", r"^\n+", "")
+    first = F.substring_index(whole, "\t", 1)
+    each = F.split(whole, "\n+", -1)
+    units = F.concat(F.transform(F.filter(each, lambda x: x != ""), one),
+                     F.when(F.size(each) > 1, F.array(unit(first, True, F.col("joined")))).otherwise(F.array().cast("array<struct<paragraph:int,joined:boolean,line:string>>")))
+    out = blocks.select("row_key", first.cast("int").alias("block"), F.explode(units).alias("_u")).select("row_key", "block", "_u.*")
+    return out.where(possible(F.col("line")))
+
+
 def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
-    """row_key, paragraph (number of the line, from 0), family, probability, similarity and
-    confirmed of every paragraph that a family is predicted for."""
+    """row_key, paragraph (number of its first line, from 0), family, probability, similarity and
+    confirmed of every paragraph that a family is found for."""
     spark = docs.sparkSession
-    some = docs.where(scanner.possible(F.col("text"))).select(C.row_key("doc_id", "text").alias("row_key"), "text")
-    lines = (some.select("row_key", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
-             .where(scanner.possible(F.col("line"))))
-    found = scanner.classify(with_grams(lines)).where(F.col("family") != OTHER)
+    scored = scanner.classify(with_grams(paragraphs(docs, scanner.possible()))).where((F.col("family") != OTHER) | F.col("joined"))
     t = F.broadcast(_templates(spark))                # a few dozen rows, fixed
+    predicted = F.col("family") == F.col("template_family")
     near = F.size(F.array_intersect("pairs", "template_pairs")) / F.size("template_pairs")
-    return (found.join(t, F.col("family") == F.col("template_family")).withColumn("similarity", near)
-            .groupBy("row_key", "paragraph", "family").agg(F.max("probability").alias("probability"), F.max("similarity").alias("similarity"))
-            .withColumn("confirmed", F.col("similarity") >= CONFIRM))
+    named = F.array(*[F.lit(f) for f in scanner.families])
+    found = (scored.join(t, predicted | (F.col("joined") & (F.size("template_pairs") >= LONG))).withColumn("similarity", near)
+             .where(predicted | (F.col("similarity") == 1))
+             .withColumn("probability", F.element_at("chances", F.array_position(named, F.col("template_family")).cast("int")))
+             .groupBy("row_key", "block", "paragraph", "joined", F.col("template_family").alias("family"))
+             .agg(F.max("probability").alias("probability"), F.max("similarity").alias("similarity"))
+             .withColumn("confirmed", F.col("similarity") >= CONFIRM))
+    block = Window.partitionBy("row_key", "block")
+    same = Window.partitionBy("row_key", "block", "family")
+    joined, sure = F.col("joined"), F.col("confirmed")
+    found = found.withColumns({"_line": F.max(~joined).over(block), "_line_sure": F.max(~joined & sure).over(same), "_joined_sure": F.max(joined & sure).over(same)})
+    stays = F.when(joined, F.when(sure, ~F.col("_line_sure")).otherwise(~F.col("_line"))).otherwise(sure | F.col("_line_sure") | ~F.col("_joined_sure"))
+    return found.where(stays).select("row_key", "paragraph", "family", "probability", "similarity", "confirmed")
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -61,11 +61,38 @@ def test_paragraphs_without_a_cue_word(docs_of, scanner):
 
 
 def test_prefilter_loses_nothing(spark, scanner):
-    """A line without a needed word is other when scored, whatever words of the vocabulary it has."""
-    words = sorted({w for g in scanner.vector.vocabulary for w in g.split(" ")})
-    free = [w for w in words if w not in scanner.needed()]
-    lines = [" ".join(w for w in line.lower().replace("-", " ").split() if w.strip(".,()") in free) for line, _, _ in L.training_rows()]
-    lines += [" ".join(free), *[" ".join(g for g in scanner.vector.vocabulary if set(g.split(" ")) <= set(free))]]
+    """A line without a needed word or pair is other when scored, whatever words of the vocabulary it has."""
+    needed = set(scanner.needed())
+    free = [g for g in scanner.vector.vocabulary if len(g.split(" ")) < 3 and not needed & {g, *g.split(" ")}]
+    lines = [*free, " ".join(g for g in free if " " not in g), " x ".join(free)]
     rows = spark.createDataFrame([(x,) for x in lines + [line for line, _, _ in L.training_rows()]], "line string").coalesce(1)
-    out = scanner.classify(L.with_grams(rows)).withColumn("possible", scanner.possible(F.col("line"))).collect()
+    out = scanner.classify(L.with_grams(rows)).withColumn("possible", scanner.possible()(F.col("line"))).collect()
     assert not any(r.family != L.OTHER and not r.possible for r in out) and any(not r.possible for r in out)
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."}
+
+
+def test_wrapped_notices(docs_of, scanner):
+    """A notice with hard line breaks is confirmed as a whole, alone, in comments and between other paragraphs."""
+    rows, want = [], {}
+    for i, (family, text) in enumerate(WRAPPED.items()):
+        lines = text.split("\n")
+        rows += [(i, text), (10 + i, "A title\n\n \n" + "\r\n".join(lines) + "\n\nThe end of it."), (20 + i, "/*\n * " + "\n * ".join(lines) + "\n *\n */\ncode"),
+                 (30 + i, "Thth er the onin.\n" + text + "\nAn ouer of the anre.")]
+        want |= {i: (0, family), 10 + i: (3, family), 20 + i: (1, family), 30 + i: (0, family)}
+    rows.append((50, "She asked for permission\nto redistribute the general plan\nof the public school."))
+    docs = docs_of(rows)
+    key = {r.k: r.doc_id for r in docs.select("doc_id", L.C.row_key("doc_id", "text").alias("k")).collect()}
+    found = [(key[r.row_key], r.paragraph, r.family) for r in L.scan(docs, scanner).collect() if r.confirmed]
+    assert sorted(found) == sorted((i, *x) for i, x in want.items())
+
+
+def test_lines_and_numbers(docs_of, scanner):
+    """Lines keep their numbers; a wrapped notice beside one-line notices is found too, once."""
+    text = "\n\n12\tx\nAll rights reserved.\n" + WRAPPED["mit"] + "\n\n\t\nReleased under the MIT License.\nReleased under the\nBSD license."
+    found = [(r.paragraph, r.family) for r in L.scan(docs_of([(1, text), (1, text)]), scanner).collect() if r.confirmed]
+    assert sorted(found) == [(2, "mit"), (3, "all-rights"), (9, "bsd"), (9, "mit")]
