@@ -12,6 +12,7 @@ from .licenses import op4_license_scan
 from .minhash import OP7_SQL, op7_minhash_near_dedup
 from .mixing import op9_source_mix
 from .quality import op3_quality_rules
+from .runs import OP11_SQL, op11_periodic_runs
 from .secrets import OP5_SQL, op5_secret_scan
 from .substring import OP1_SQL, op1_substring_dedup
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_order_minhash": op8_order_minhash,
     "op9_source_mix": op9_source_mix,
     "op10_language_id": op10_language_id,
+    "op11_periodic_runs": op11_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -33,6 +35,7 @@ ORACLES: dict[str, str] = {
     "op5_secret_scan": OP5_SQL,
     "op6_chat_format": OP6_SQL,
     "op7_minhash_near_dedup": OP7_SQL,
+    "op11_periodic_runs": OP11_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
