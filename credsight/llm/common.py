@@ -91,6 +91,19 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+HOT_SHARE = 10_000          # a key with more than 1/10 000 of all rows is hot: fewer than 10 000 keys are
+
+
+def join_unique(rows: DataFrame, one: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``one``, which holds one row a key and in ``count`` how many
+    rows have it.  Hot keys are joined by broadcast, the rest by shuffle."""
+    total = one.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    is_hot = F.col(count) * HOT_SHARE > total
+    hot = F.broadcast(one.where(is_hot).drop(count))                     # fewer than HOT_SHARE rows
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(one.where(~is_hot).drop(count), keys))
+
+
 def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """``df`` with the 0-based position of each row in the total order ``order``: range
     slices, a count per slice, and a position inside the slice."""
