@@ -192,15 +192,15 @@ def _linked_edges(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _hub_distance(rows: DataFrame) -> DataFrame:
-    """key, node, hub and whether the node is near the hub, from both signatures."""
+    """node, hub and whether the node is near the hub, from both signatures."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                own, hub = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint16).reshape(-1, HASHES) for i in (3, 4))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array((own != hub).sum(axis=1) <= ERRORS)],
-                                                 names=["key", "node", "hub", "near"])
+                own, hub = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint16).reshape(-1, HASHES) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((own != hub).sum(axis=1) <= ERRORS)],
+                                                 names=["node", "hub", "near"])
 
-    return rows.select("key", "node", "hub", "sig", "hub_sig").mapInArrow(run, "key bigint, node bigint, hub bigint, near boolean")
+    return rows.select("node", "hub", "sig", "hub_sig").mapInArrow(run, "node bigint, hub bigint, near boolean")
 
 
 def _meet(rest: DataFrame, every: DataFrame, key: str) -> DataFrame:
@@ -220,9 +220,12 @@ def families(nodes: DataFrame) -> DataFrame:
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").drop("other")
     shared = materialize(keys.join(hubs, "key"), "shared")    # only keys of two nodes or more
     sig = nodes.select("node", "sig")
-    both = shared.join(sig, "node").join(sig.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-    judged = materialize(_hub_distance(both), "judged")
-    ties = judged.where("near AND node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = shared.where("node <> hub").select("node", "hub").distinct()      # many keys share a pair: one distance each
+    both = pairs.join(sig, "node").join(sig.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+    distance = materialize(_hub_distance(both), "distances")
+    ties = distance.where("near").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    judged = shared.join(distance, ["node", "hub"], "left").select("key", "node", F.coalesce("near", F.lit(True)).alias("near"))
+    judged = materialize(judged, "judged")
     sizes = (judged.groupBy("key").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far")).where("far > 0")
              .select("key", F.ceil(F.col("far") / BLOCK_ROWS).alias("n_rest"), F.ceil(F.col("n") / BLOCK_ROWS).alias("n_every")))
     every = judged.join(sizes, "key")
@@ -281,7 +284,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """row_key, doc_id, n_shingles, component_id and kept of every document."""
+    """row_key, doc_id, n_shingles, component (a number; null for an empty set), component_id and kept
+    of every document."""
     C.small_batches(docs.sparkSession)
     sketches = materialize(sketch(docs), "sketches")
     nodes = (sketches.where("n_shingles > 0").groupBy("set_key")
@@ -294,23 +298,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     node_root = materialize(nodes.select("node", "set_key", "lowest").join(root, "node", "left")
                             .select("set_key", "lowest", F.coalesce("root", "node").alias("top")), "roots")
     lowest = node_root.groupBy("top").agg(F.min("lowest").alias("component_id"))
-    found = materialize(node_root.join(lowest, "top").select("set_key", "component_id", F.lit(True).alias("found")), "components")
+    found = materialize(node_root.join(lowest, "top").select("set_key", "component_id", F.col("top").alias("component")), "components")
     out = sketches.select("row_key", "doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
-    return out.select("row_key", "doc_id", "n_shingles",
-                      F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("row_key", "doc_id", "n_shingles", "component",
+                      F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
                       ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that their component keeps; of rows equal in id and text, one."""
-    kept = judged.where("kept").select(F.col("row_key").alias("_rk")).distinct()
-    keyed = docs.withColumn("_rk", C.row_key("doc_id", "text"))
-    return keyed.join(kept, "_rk").dropDuplicates(["_rk"]).select(*docs.columns)
+    """One row of ``docs`` per component, that of the smallest id (null last; of several rows of that id
+    the one of the smallest key), and one of rows that are equal and have an empty set."""
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    grouped = judged.where("component IS NOT NULL").groupBy("component").agg(F.min_by("row_key", first).alias("_kept_key"))
+    empty = judged.where("component IS NULL").select(F.col("row_key").alias("_kept_key")).distinct()
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), C.row_key("doc_id", "text").alias("_kept_key"))
+    kept = named.join(grouped.select("_kept_key").unionByName(empty), "_kept_key").dropDuplicates(["_kept_key"])
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Set size, component and verdict of every document."""
-    return near_duplicates(C.read(spark, sf_dir, "documents").select("doc_id", "text")).drop("row_key")
+    return near_duplicates(C.read(spark, sf_dir, "documents").select("doc_id", "text")).drop("row_key", "component")
 
 
 # The plain statement: all pairs that share a shingle, counted; components by closure.

@@ -112,3 +112,19 @@ def test_query_as_sql(spark):
     rel = con.execute(M.OP7_SQL)
     cols = [x[0] for x in rel.description]
     assert sorted(rows_of(df.columns, [tuple(r) for r in df.collect()])) == sorted(rows_of(cols, rel.fetchall()))
+
+
+def test_keep_one_per_component_whatever_the_ids(docs_of):
+    """Near copies that share an id, or have none, leave one row; clashing column names pass through."""
+    from pyspark.sql import functions as F
+
+    body = " ".join(f"w{i}" for i in range(200))
+    near = body + " tail"
+    docs = docs_of([(1, body), (1, near), (None, "x " + body), (None, "a b c"), (None, "a b c d"), (5, ""), (5, ""), (6, None)])
+    docs = docs.withColumn("_rk", F.lit("own")).withColumn("_kept_key", F.lit("k")).withColumn("component", F.lit("c"))
+    rows = M.keep_one(docs, M.near_duplicates(docs)).collect()
+    assert {r._rk for r in rows} == {"own"} and {r.component for r in rows} == {"c"} and {r._kept_key for r in rows} == {"k"}
+    texts = sorted((r.text or "")[:5] for r in rows)
+    assert texts == sorted(["w0 w1", "a b c", "a b c", "", ""]) and [r.doc_id for r in rows if (r.text or "").startswith("w0")] == [1]
+    lost = M.keep_one(docs.where("doc_id IS NULL"), M.near_duplicates(docs.where("doc_id IS NULL")))
+    assert lost.count() == 3
