@@ -1,8 +1,8 @@
 """Personal-data patterns: redaction (F4), findings (F5) and the leak gate.
 
 All regex work is JVM-side (``regexp_replace`` / ``regexp_count``), per row,
-no Python.  Patterns use Java regex; ``\\b`` in Java 17 treats accented
-letters as word characters, as Python does.
+no Python.  What counts as a word edge (``\\b``) differs between JDKs, so it is
+written out: between a letter, digit or underscore of any script and anything else.
 """
 
 from __future__ import annotations
@@ -24,15 +24,24 @@ PATTERNS = [
 TYPES = ["SSN", "CREDIT_CARD", "IBAN", "EMAIL", "DOB", "ACCOUNT_NUMBER", "PHONE"]
 
 
+_IN = r"[\p{L}\p{N}_]"
+EDGE = f"(?:(?<={_IN})(?!{_IN})|(?<!{_IN})(?={_IN}))"
+
+
+def edged(pattern: str) -> str:
+    """``pattern`` with its word edges written out."""
+    return pattern.replace(r"\b", EDGE)
+
+
 def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(edged(pattern)))
 
 
 def redact(text: Column) -> Column:
     """the eight replacements applied in order, each on the previous result."""
     out = text
     for _, pat, tok in PATTERNS:
-        out = F.regexp_replace(out, pat, tok)
+        out = F.regexp_replace(out, edged(pat), tok)
     return out
 
 
@@ -43,7 +52,7 @@ def redaction_counts(text: Column) -> Column:
     counts = {t: F.lit(0) for t in TYPES}
     for name, pat, tok in PATTERNS:
         counts[name] = counts[name] + _count(cur, pat)
-        cur = F.regexp_replace(cur, pat, tok)
+        cur = F.regexp_replace(cur, edged(pat), tok)
     return F.struct(*[counts[t].alias(t) for t in TYPES])
 
 
@@ -58,7 +67,7 @@ def findings(text: Column) -> Column:
 def finding_matches(text: Column) -> Column:
     """F5 detail: array<struct<type, match>> of every match, patterns in order."""
     def matches(name: str, pat: str) -> Column:
-        return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pat})"), 1),
+        return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({edged(pat)})"), 1),
                            lambda m: F.struct(F.lit(name).alias("type"), m.alias("match")))
 
     return F.concat(*[matches(name, pat) for name, pat, _ in PATTERNS])

@@ -9,7 +9,8 @@ from ..operators import features as FT
 from ..operators import ops as OP
 from ..session import fresh_scratch, materialize
 from ..sources import landing as L
-from .catalog import register, rounded
+from ..sources.keyed_table import KeyedTable
+from .catalog import ORACLES, register, rounded
 from .evaluate import _G81, _PRED, _sweep_sql
 from .features import SQL_AUX_CTES, _HIST
 from .ops import _P1_SQL, _raw
@@ -188,3 +189,20 @@ def s12(t):
         .withColumn("amt_credit", F.col("amt_credit") * 1.1).withColumn("ingest_seq", F.lit(2))
     merged, _ = L.upsert_last_write_wins(first, second)
     return rounded(merged.select("external_id", "amt_credit", "ingest_seq"))
+
+
+@register("S12_stored_upsert")
+def s12_stored(t):
+    """S12 into a stored table: all applications, then the last year's again with a revised amount; the second
+    load rewrites the buckets of its keys only."""
+    prof = OP.normalize_application(_raw(t)).select("external_id", "amt_credit")
+    apps = t.view("v_applications")
+    recent = apps.filter(F.col("created_at") >= apps.agg(F.max("created_at")).scalar() - F.expr("INTERVAL 365 DAYS"))
+    second = prof.join(recent.select("external_id"), "external_id", "left_semi").withColumn("amt_credit", F.col("amt_credit") * 1.1)
+    table = KeyedTable(t.spark, fresh_scratch(t.spark, "applications"), "external_id", "ingest_seq")
+    table.upsert(prof.withColumn("ingest_seq", F.lit(1)))
+    table.upsert(second.withColumn("ingest_seq", F.lit(2)))
+    return rounded(table.read().select("external_id", "amt_credit", "ingest_seq"))
+
+
+ORACLES["S12_stored_upsert"] = ORACLES["S12_application_upsert"]

@@ -11,14 +11,27 @@ from .catalog import register
 from .views import cte
 
 
-def _count_sql(text: str, pat: str) -> str:
-    return f"len(regexp_extract_all({text}, '{pat}'))"
+# The oracle's word edges know ASCII only.  Letters and digits of other scripts are put between underscores,
+# which are word characters and in no pattern but the e-mail one (that one is matched on the text as it is).
+_WIDE = r"([^\P{L}\x00-\x7F]|[^\P{N}\x00-\x7F])"
+
+
+def _marked(text: str, name: str) -> str:
+    return text if name == "EMAIL" else f"regexp_replace({text}, '{_WIDE}', '_\\1_', 'g')"
+
+
+def _unmarked(text: str, name: str) -> str:
+    return text if name == "EMAIL" else f"regexp_replace({text}, '_{_WIDE}_', '\\1', 'g')"
+
+
+def _count_sql(text: str, name: str, pat: str) -> str:
+    return f"len(regexp_extract_all({_marked(text, name)}, '{pat}'))"
 
 
 def _findings_sql(text: str) -> str:
     parts = {t: [] for t in PV.TYPES}
     for name, pat, _ in PV.PATTERNS:
-        parts[name].append(_count_sql(text, pat))
+        parts[name].append(_count_sql(text, name, pat))
     return ", ".join(f"CAST({' + '.join(v)} AS INTEGER) AS {k}" for k, v in parts.items())
 
 
@@ -30,7 +43,7 @@ def f5(t):
 
 
 def _matches_sql() -> str:
-    parts = [f"SELECT doc_id, {i} AS pattern_no, '{name}' AS type, unnest(regexp_extract_all(coalesce(text, ''), '({pat})', 1)) AS match FROM documents"
+    parts = [f"SELECT doc_id, {i} AS pattern_no, '{name}' AS type, unnest(regexp_extract_all({_marked("coalesce(text, '')", name)}, '({pat})', 1)) AS match FROM documents"
              for i, (name, pat, _) in enumerate(PV.PATTERNS)]
     return "SELECT doc_id, type, match, count(*) AS n FROM (" + " UNION ALL ".join(parts) + ") x GROUP BY ALL"
 
@@ -47,8 +60,8 @@ def _redact_steps_sql(text: str) -> tuple[str, dict[str, list[str]]]:
     cur = f"coalesce({text}, '')"
     counts = {t: [] for t in PV.TYPES}
     for name, pat, tok in PV.PATTERNS:
-        counts[name].append(_count_sql(cur, pat))
-        cur = f"regexp_replace({cur}, '{pat}', '{tok}', 'g')"
+        counts[name].append(_count_sql(cur, name, pat))
+        cur = _unmarked(f"regexp_replace({_marked(cur, name)}, '{pat}', '{tok}', 'g')", name)
     return cur, counts
 
 
@@ -69,7 +82,7 @@ def f4(t):
 def _f6_sql() -> str:
     red, counts = _redact_steps_sql("text")
     n_red = " + ".join(x for v in counts.values() for x in v)
-    resid = " + ".join(_count_sql("red", pat) for _, pat, _ in PV.PATTERNS)
+    resid = " + ".join(_count_sql("red", name, pat) for name, pat, _ in PV.PATTERNS)
     return f"""SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN red END AS redacted, CAST(n_redacted AS INTEGER) AS n_redacted, CAST({resid} AS INTEGER) AS n_residual,
   ({resid}) > 0 AS blocked FROM (SELECT conv_id, turn, text, {red} AS red, {n_red} AS n_redacted FROM conversations) x"""
 

@@ -9,9 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import postings as PS
 from ..operators import retrieval as RT
+from ..operators import vector_index as VX
+from ..session import fresh_scratch, materialize
 from ..sources import landing as L
-from .catalog import register, rounded
+from ..sources.keyed_table import KeyedTable
+from .catalog import ORACLES, register, rounded
 from .views import cte
 
 ACTIVE = "v1.0"
@@ -155,6 +159,30 @@ def r3(t):
     return RT.retrieve(q, _parts(t, (ACTIVE, OLD)))
 
 
+def stored_index(t, versions=(ACTIVE,)) -> PS.PostingStore:
+    store = PS.PostingStore(t.spark)
+    for v in versions:
+        store.register(v, corpus(t, (v,)).drop("corpus_version"))
+    return store
+
+
+@register("R2_stored_retrieve", "WITH " + _index_sql(_CORPUS_ACTIVE) + _retrieve_sql(_Q_PER_SCHEME) + "SELECT * FROM res")
+def r2_stored(t):
+    """R2 over the stored index: posting lists read by their bounds, every text scored once for all schemes."""
+    q = bench_queries(t, per_scheme=True).withColumn("corpus_version", F.lit(ACTIVE))
+    return rounded(stored_index(t).retrieve(q))
+
+
+@register("R3_version_switch", "WITH " + _index_sql(_CORPUS_BOTH) + _retrieve_sql(_Q_VERSIONS) + "SELECT * FROM res")
+def r3_switch(t):
+    """The stored versions replayed: the active one, switched to the older one, and asked without a name."""
+    store = stored_index(t, (OLD, ACTIVE))
+    q = bench_queries(t, per_scheme=False).withColumn("corpus_version", F.lit(None).cast("string"))
+    newest = store.retrieve(q)
+    store.activate(OLD)
+    return rounded(newest.unionByName(store.retrieve(q)))
+
+
 @register("A28_corpus_metadata", f"""WITH c AS ({_CORPUS_BOTH})
 SELECT corpus_version, list_sort(list_distinct(list(scheme))) AS schemes, count(*) AS clause_count
 FROM c GROUP BY corpus_version""")
@@ -247,6 +275,22 @@ def r4(t):
     return rounded(RT.vector_topk(q, items))
 
 
+@register("R4_vector_topk_approx")
+def r4_approx(t):
+    """R4 through the stored hash buckets: every twentieth vector asked among the items of its label; ``recall`` is
+    the share of the exact answer's items that were found, over all queries."""
+    e = t.embeddings
+    items = e.select(F.col("vec_id").alias("item_id"), "label", "embedding")
+    q = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "label", "embedding")
+    index = VX.VectorIndex(t.spark)
+    index.build(items)
+    found = materialize(index.search(q), "approx")
+    exact = RT.vector_topk(q, items).where("NOT retrieval_failed").select("query_id", "item_id")
+    hits = exact.join(found.select("query_id", "item_id", F.lit(1).alias("hit")), ["query_id", "item_id"], "left")
+    recall = hits.agg((F.coalesce(F.sum("hit"), F.lit(0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("recall"))       # one row
+    return rounded(found.join(F.broadcast(recall)))
+
+
 _NS = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
 
@@ -278,6 +322,19 @@ def r5(t):
     return RT.vector_upsert(once, second).select("corpus_version", "clause_id", "scheme", "ingest_seq", "payload")
 
 
+@register("R5_stored_upsert")
+def r5_stored(t):
+    """R5 into a stored point table: both versions, then both again with a revised payload."""
+    c = RT.point_ids(corpus(t, (ACTIVE, OLD)).select("corpus_version", "clause_id", "scheme", F.col("text").alias("payload")), _NS)
+    table = KeyedTable(t.spark, fresh_scratch(t.spark, "points"), "point_id", "ingest_seq")
+    table.upsert(c.withColumn("ingest_seq", F.lit(1)))
+    table.upsert(c.withColumn("payload", F.concat("payload", F.lit(" (revised)"))).withColumn("ingest_seq", F.lit(2)))
+    return table.read().select("corpus_version", "clause_id", "scheme", "ingest_seq", "payload")
+
+
+ORACLES["R5_stored_upsert"] = ORACLES["R5_vector_index_upsert"]
+
+
 @register("R6_retrieval_fallback", "WITH " + _index_sql(_CORPUS_ACTIVE) + _retrieve_sql(_Q_ALL) + """,
 first AS (SELECT min(label) AS label FROM embeddings),
 it AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN first USING (label)),

@@ -36,6 +36,7 @@ RESULT_TYPES: dict[str, dict[str, str]] = {
         "BUREAU_ACTIVE_COUNT": "BIGINT", "PREV_APP_REFUSED_COUNT": "BIGINT", "INST_LATE_COUNT": "BIGINT",
     },
     "T2_stream_kpis": {"overrides": "BIGINT", "accepts": "BIGINT"},
+    "T2_stream_kpis_late": {"overrides": "BIGINT", "accepts": "BIGINT"},
     "T3_stream_fairness": {"attribute_pos": "BIGINT"},
     "W4_threshold_policies": {"k": "BIGINT"},
     "W5_loss_policies": {"k": "BIGINT"},
