@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import explain as EX
 from ..functions import scoring as S
+from ..session import materialize
 from . import documents as DOC
 from . import policy as PO
 from . import retrieval as RT
@@ -71,7 +72,9 @@ def assess_batch(apps: DataFrame, docs: DataFrame, book: DataFrame, pauses: Data
                  force_regulatory_fail: bool = False) -> DataFrame:
     """One recommendation with its full evidence per application."""
     scheme = F.coalesce(F.col("loan_scheme"), F.lit(DEFAULT_SCHEME))
-    apps = RT.spread(apps)           # CPU-heavy per-row work: use every core even on an under-split scan
+    # read by scoring, retrieval and documents: written once; spread, so that the CPU-heavy per-row
+    # work uses every core even on an under-split scan
+    apps = materialize(RT.spread(apps), "applications")
     base = apps.select("application_id", "external_id", scheme.alias("scheme"), "amt_income_total", "amt_credit",
                        "amt_annuity", "days_employed", "region_rating_client", "loan_scheme")
     # Model score when given, else the rule score.

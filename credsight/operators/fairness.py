@@ -167,24 +167,23 @@ def pause_release(pauses: DataFrame, scheme: str, now: Column) -> DataFrame:
 
 def cramers_v(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """Bias-corrected Cramer's V per group ``by`` (NULL pairs dropped).
-    chi2 = N * (sum O^2 / (R_i C_j) - 1) over the observed cells only."""
+    The association is the sum of seen^2 / (row total * column total) over the observed cells, less 1."""
     by = list(by or [])
     cells = (df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-             .groupBy(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).alias("o")))
+             .groupBy(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).alias("_seen")))
     ra = Window.partitionBy(*by, "_a")
-    cb = Window.partitionBy(*by, "_b")
-    cells = cells.withColumns({"r_i": F.sum("o").over(ra), "c_j": F.sum("o").over(cb)})
-    g = cells.groupBy(*by).agg(
-        F.sum(F.col("o") * F.col("o") / (F.col("r_i") * F.col("c_j"))).alias("s"),
-        F.sum("o").alias("n"), F.count_distinct("_a").alias("r"), F.count_distinct("_b").alias("k"))
-    n, r, k = F.col("n").cast("double"), F.col("r").cast("double"), F.col("k").cast("double")
-    phi2 = (n * (F.col("s") - 1)) / n
-    phi2corr = F.greatest(F.lit(0.0), phi2 - (k - 1) * (r - 1) / (n - 1))
-    rcorr = r - (r - 1) * (r - 1) / (n - 1)
-    kcorr = k - (k - 1) * (k - 1) / (n - 1)
-    denom = F.least(kcorr - 1, rcorr - 1)
-    v = F.when((F.col("r") >= 2) & (F.col("k") >= 2) & (denom > 0), F.sqrt(phi2corr / denom)).otherwise(F.lit(0.0))
-    return g.select(*by, v.alias("cramers_v"))
+    cells = cells.withColumns({"_row": F.sum("_seen").over(Window.partitionBy(*by, "_a")),
+                               "_col": F.sum("_seen").over(Window.partitionBy(*by, "_b"))})
+    table = cells.groupBy(*by).agg(
+        F.sum("_seen").cast("double").alias("pairs"),
+        (F.sum(F.col("_seen") * F.col("_seen") / (F.col("_row") * F.col("_col"))) - 1).alias("association"),
+        (F.count_distinct("_a") - 1).cast("double").alias("free_a"), (F.count_distinct("_b") - 1).cast("double").alias("free_b"))
+    free_a, free_b, dof = F.col("free_a"), F.col("free_b"), F.nullif(F.col("pairs") - 1, F.lit(0.0))
+    # what independent columns show by chance is taken off the association and off both sides' levels
+    beyond_chance = F.greatest(F.col("association") - free_a * free_b / dof, F.lit(0.0))
+    room = F.least(free_a - free_a * free_a / dof, free_b - free_b * free_b / dof)
+    strength = F.when((free_a >= 1) & (free_b >= 1) & (room > 0), F.sqrt(beyond_chance / room)).otherwise(F.lit(0.0))
+    return table.select(*by, strength.alias("cramers_v"))
 
 
 def correlation_ratio(df: DataFrame, cat: str, val: str, by: list[str] | None = None) -> DataFrame:

@@ -39,6 +39,7 @@ FAILURE_RATE_CEILING = 0.05
 # Word characters as Python's ``\w`` sees them (letters, digits, underscore),
 # written so Java and RE2 agree; runs of two or more are tokens.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
+VOCABULARY_ROWS = 10_000     # a vocabulary of at most this many terms is broadcast
 SALTS = 32
 
 
@@ -166,25 +167,61 @@ def retrieve(queries: DataFrame, parts: tuple[DataFrame, DataFrame], qkey: str =
     """R2 + W3: per query (with optional scheme) the top-k clauses scoring >= floor,
     ties in corpus order; a query with no such clause (unknown scheme, or best
     below the floor) gets one row with ``retrieval_failed``."""
-    q = queries.withColumn("_qscheme", F.col(scheme))
-    qv = query_vectors(q, parts[1], qkey, version, keep=["_qscheme"])
-    return _rank(qv, queries.select(qkey, version, scheme), parts, qkey, version, key, scheme, position, top_k, floor)
+    ask = F.coalesce(F.concat(F.lit("="), F.col(scheme)), F.lit("*"))
+    wanted = queries.withColumns({"_text": F.sha2(F.col("query"), 256), "_ask": ask})
+    # a text is scored once, however many schemes ask for it
+    texts = wanted.groupBy("_text", version).agg(F.first("query").alias("query"))
+    sc = tfidf_scores(query_vectors(texts, parts[1], "_text", version), parts, "_text", version, key, extra=[scheme, position])
+    sc = sc.filter(F.col("score") >= floor)
+    mine = F.array_compact(F.array(F.lit("*"), F.concat(F.lit("="), F.col(scheme))))
+    asked = wanted.select("_text", version, "_ask").distinct()
+    sc = sc.withColumn("_ask", F.explode(mine)).join(asked, ["_text", version, "_ask"], "left_semi")
+    top = _best(sc, ["_text", version, "_ask"], key, position, top_k)
+    out = wanted.select(qkey, version, F.col(scheme).alias("query_scheme"), "_text", "_ask").join(
+        top.select("_text", version, "_ask", "rank", key, F.col(scheme).alias("clause_scheme"), "score"), ["_text", version, "_ask"], "left")
+    return _result(out, qkey, version, key)
 
 
 def _rank(qv: DataFrame, qmeta: DataFrame, parts, qkey, version, key, scheme, position, top_k, floor) -> DataFrame:
     sc = tfidf_scores(qv, parts, qkey, version, key, extra=[scheme, position], scheme=scheme)
     sc = sc.filter(F.col("score") >= floor)
-    # Equal vectors (duplicate clauses) must tie exactly whatever the summation
-    # order, so ranking uses the score rounded far below any real difference.
-    sc = sc.withColumn("_rs", F.round("score", 12))
-    top = topk(sc, [qkey, version], [F.desc("_rs"), F.asc(position)], top_k, salt_on=key).drop("_rs")
+    top = _best(sc, [qkey, version], key, position, top_k)
     out = qmeta.select(qkey, version, F.col(scheme).alias("query_scheme")).join(
         top.select(qkey, version, "rank", key, F.col(scheme).alias("clause_scheme"), "score"),
         [qkey, version], "left")
+    return _result(out, qkey, version, key)
+
+
+def _best(sc: DataFrame, by: list[str], key: str, position: str, top_k: int) -> DataFrame:
+    """Equal vectors (duplicate clauses) must tie exactly whatever the summation
+    order, so ranking uses the score rounded far below any real difference."""
+    sc = sc.withColumn("_rs", F.round("score", 12))
+    return topk(sc, by, [F.desc("_rs"), F.asc(position)], top_k, salt_on=key).drop("_rs")
+
+
+def _result(out: DataFrame, qkey: str, version: str, key: str) -> DataFrame:
     return out.select(qkey, version, "query_scheme", "rank", key, "clause_scheme",
                       F.bround("score", 4).alias("score"), F.col(key).isNull().alias("retrieval_failed"))
 
 
+def _known_terms(queries: DataFrame, idf: DataFrame, qkey: str, version: str, scheme: str) -> DataFrame:
+    """Per query its in-vocabulary terms (repeats kept, sorted) as ``_vt``.  A vocabulary of at most
+    ``VOCABULARY_ROWS`` terms, counted, is broadcast and the terms are kept in the projection; a larger
+    one is joined, which shuffles the terms."""
+    none = F.array().cast("array<string>")
+    if idf.count() <= VOCABULARY_ROWS:
+        vocabulary = F.broadcast(idf.groupBy(version).agg(F.collect_set("term").alias("_known")))
+        qt = with_terms(queries.select(qkey, version, scheme, "query"), "query").join(vocabulary, version, "left")
+        # one-element arrays bind the query's known terms once, not per element
+        shared = F.array(F.array_intersect("_terms", F.coalesce("_known", none)))
+        kept = F.element_at(F.transform(shared, lambda k: F.filter("_terms", lambda x: F.array_contains(k, x))), 1)
+        return qt.select(qkey, version, scheme, F.coalesce(F.array_sort(kept), none).alias("_vt"))
+    occ = _explode_terms(with_terms(queries.select(qkey, version, "query"), "query"), [qkey, version])
+    known = occ.join(idf.select(version, "term"), [version, "term"], "left_semi")
+    per = known.groupBy(qkey, version).agg(F.array_sort(F.collect_list("term")).alias("_vt"))   # one query's terms
+    return queries.select(qkey, version, scheme).join(per, [qkey, version], "left").withColumn("_vt", F.coalesce("_vt", none))
+
+
 def retrieve_small_corpus(queries: DataFrame, parts: tuple[DataFrame, DataFrame],
                           qkey: str = "query_id", version: str = "corpus_version", key: str = "clause_id",
                           scheme: str = "scheme", position: str = "clause_pos", top_k: int = TOP_K,
@@ -195,11 +232,7 @@ def retrieve_small_corpus(queries: DataFrame, parts: tuple[DataFrame, DataFrame]
     those keys are deduplicated, retrieved once each and joined back.  Exact, and
     the same plan at every vocabulary size."""
     idf = parts[1]
-    occ = _explode_terms(with_terms(queries.select(qkey, version, "query"), "query"), [qkey, version])
-    known = occ.join(idf.select(version, "term"), [version, "term"], "left_semi")
-    per = known.groupBy(qkey, version).agg(F.array_sort(F.collect_list("term")).alias("_vt"))   # one query's terms
-    qt = queries.select(qkey, version, scheme).join(per, [qkey, version], "left")
-    qt = qt.withColumn("_vt", F.coalesce("_vt", F.array().cast("array<string>")))
+    qt = _known_terms(queries, idf, qkey, version, scheme)
     vkey = F.sha2(F.concat_ws("\u0001", F.col(version), F.coalesce(F.col(scheme), F.lit("\u0000")),
                               F.array_join("_vt", "\u0002")), 256)
     # read twice (distinct keys, join back): written once instead of tokenizing twice

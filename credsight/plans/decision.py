@@ -32,10 +32,10 @@ def d1(t):
     return _summary(decisions(t))
 
 
-def _summary(d):
+def _summary(d, *more):
     return rounded(d.select(*_D1_COLS, F.col("cost.cost_usd").alias("estimated_cost_usd"),
                             F.size("policy_clauses").alias("n_clauses"), F.col("document_findings.verified")
-                            .alias("documents_verified"), "approve_allowed"))
+                            .alias("documents_verified"), "approve_allowed", *more))
 
 
 PAUSED_SCHEME = "Personal Loan"
@@ -99,7 +99,7 @@ def d5(t):
 def f13(t):
     """grounded claims and the deterministic narrative for every decision."""
     ex = DE.explanations(decisions(t))
-    return ex.select("application_id", F.size("claims").alias("n_claims"), "narrative")
+    return rounded(ex.select("application_id", F.size("claims").alias("n_claims"), "narrative"))
 
 
 @register("A27_faithfulness")
@@ -152,7 +152,7 @@ def f3(t):
 
 
 # ------------------------------------------------------------ D1 oracle
-def _d1_oracle(paused: str | None = None, forced: bool = False, every_rule: bool = False) -> str:
+def _d1_oracle(paused: str | None = None, forced: bool = False, every_rule: bool = False, score: str | None = None) -> str:
     from ..operators.policy import RULE_BOOK
     from ..sources.corpus import CLAUSE_TEXT, POLICY_VERSION
     from .policy import _DIGEST_SQL, _DOC_SQL, _METRICS_SQL, _cmp, _obs
@@ -180,7 +180,7 @@ def _d1_oracle(paused: str | None = None, forced: bool = False, every_rule: bool
         JOIN (SELECT *, row_number() OVER (PARTITION BY scheme ORDER BY clause_pos) AS rank FROM book) b ON b.scheme = a.own"""
     if every_rule:
         every = every.replace(") a\n", ") r\n").replace("a.own", "r.own")
-    return (cte("v_applications", "v_support_documents") + ", " + _ORACLE_SCORE + ", " + _index_sql(book)
+    return (cte("v_applications", "v_support_documents", "v_predictions") + ", " + (score or _ORACLE_SCORE) + ", " + _index_sql(book)
             + _retrieve_sql(queries) + ", " + _METRICS_SQL + ", " + _DOC_SQL + ", " + _DIGEST_SQL + f""",
 book AS ({book}),
 ret AS (SELECT CAST(query_id AS BIGINT) AS application_id, count(clause_id) AS n_clauses,
@@ -194,7 +194,7 @@ ev0 AS (SELECT CAST(r.query_id AS BIGINT) AS application_id, {'b.rank' if every_
         JOIN mm ON mm.application_id = CAST(r.query_id AS BIGINT) WHERE b.metric IS NOT NULL),
 ev1 AS (SELECT *, guard_metric IS NOT NULL AND (gobs IS NULL OR NOT coalesce({_cmp('guard_operator', 'gobs',
           'guard_threshold')}, false)) AS na FROM ev0),
-ev2 AS (SELECT application_id, rank, CASE WHEN NOT na AND observed IS NULL AND action = 'escalate' THEN 'refer'
+ev2 AS (SELECT application_id, rank, clause_id, CASE WHEN NOT na AND observed IS NULL AND action = 'escalate' THEN 'refer'
           ELSE action END AS eff,
           CASE WHEN na THEN true WHEN observed IS NULL THEN false ELSE {_cmp('operator', 'observed', 'th')} END AS sat
         FROM ev1),

@@ -1,5 +1,5 @@
 """Operators that also run inside larger queries, registered on their own so
-each SURVEY id has its entry: P7, P11, P12, P13, P14, P17, D2, F11, F14, J3, J6."""
+each SURVEY id has its entry: P7, P11, P12, P13, P14, P17, D2, F11, F14, J3, J6, X1, X2, X4."""
 
 from __future__ import annotations
 
@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import explain as EX
 from ..functions import scoring as S
 from ..operators import audit as AU
+from ..operators import documents as DOC
 from ..operators import features as FT
 from ..operators import retrieval as RT
 from ..session import fresh_scratch
 from ..sources import landing as L
 from .catalog import ORACLES, register, rounded
 from .decision import _d1_oracle, decisions
+from .landing import _BAL_SQL, _bal
+from .policy import _DOC_SQL
 from .privacy_audit import events
 from .retrieval import _parts, _index_sql, _retrieve_sql, _Q_ALL, _CORPUS_ACTIVE, ACTIVE, bench_queries
 from .views import cte
@@ -145,3 +148,33 @@ def f14(t):
     nat = t.nation.select(F.concat(F.lit("num__"), F.upper("n_name"), F.lit("_SHARE")).alias("feature"))
     names = seg.distinct().unionByName(nat.distinct())
     return names.select("feature", EX.humanize(F.col("feature")).alias("label"))
+
+
+_DECLARED = ["declared_name", "doc_type", "declared_income"]
+
+
+@register("X1_drop_duplicates", cte("v_support_documents") + f"SELECT DISTINCT {', '.join(_DECLARED)} FROM v_support_documents")
+def x1(t):
+    """Exact copies of a declaration are dropped, nulls being equal to one another."""
+    return FT.clean_dedupe_sentinel(t.view("v_support_documents").select(*_DECLARED))
+
+
+@register("X2_union_rejects", cte("v_raw_customer") + ", " + _BAL_SQL + """
+SELECT c_custkey, c_acctbal, NULL::VARCHAR AS c_name, NULL::VARCHAR AS c_nationkey, NULL::VARCHAR AS c_mktsegment,
+  'cast_failed: c_acctbal' AS _reject_reason FROM bal WHERE TRY_CAST(c_acctbal AS DOUBLE) IS NULL
+UNION ALL SELECT c_custkey, NULL, c_name, c_nationkey, c_mktsegment, 'cast_failed: c_mktsegment' FROM v_raw_customer
+WHERE c_mktsegment IS NOT NULL""")
+def x2(t):
+    """The rejects of two loads with different columns in one table."""
+    _, balances = L.cast_or_reject(_bal(t), {"c_custkey": "BIGINT", "c_acctbal": "DOUBLE PRECISION"})
+    _, segments = L.cast_or_reject(t.view("v_raw_customer"), {"c_mktsegment": "BIGINT"})
+    return L.union_rejects([balances, segments])
+
+
+@register("X4_missing_documents", cte("v_applications", "v_support_documents") + ", " + _DOC_SQL + """
+SELECT application_id, unnest(missing_information) AS doc_type FROM k""")
+def x4(t):
+    """Required minus present documents, one row per missing one."""
+    apps = t.view("v_applications").select("application_id", "loan_scheme", "amt_income_total")
+    v = DOC.verify_documents(apps, t.view("v_support_documents"))
+    return v.select("application_id", F.explode("missing_information").alias("doc_type"))

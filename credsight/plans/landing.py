@@ -70,10 +70,17 @@ def s4(t):
     return L.generate_ddl(L.schema_sniff(t.view("v_raw_customer")), "bronze", "raw_customer")
 
 
-@register("S5_schema_drift")
+@register("S5_schema_drift", _RAW + """,
+src AS (SELECT column_name FROM (DESCRIBE SELECT *, upper(c_name) AS c_name_upper FROM v_raw_customer)),
+tab AS (SELECT column_name FROM (DESCRIBE SELECT * EXCLUDE (c_mktsegment), now() AS _ingested_at FROM v_raw_customer) WHERE NOT starts_with(column_name, '_')),
+d AS (SELECT 'new_columns' AS kind, list(column_name ORDER BY column_name) AS columns, 'raw_customer lacks: ' AS said
+        FROM src WHERE column_name NOT IN (SELECT column_name FROM tab)
+      UNION ALL SELECT 'dropped_columns', list(column_name ORDER BY column_name), 'raw_customer alone has: '
+        FROM tab WHERE column_name NOT IN (SELECT column_name FROM src))
+SELECT kind, columns, said || array_to_string(columns, ', ') AS warning FROM d WHERE len(columns) > 0""")
 def s5(t):
     """A table landed without the segment column against the current source
-    that carries an extra derived column (column metadata only: rows-only check)."""
+    that carries an extra derived column."""
     raw = t.view("v_raw_customer")
     existing = [c for c in raw.columns if c != "c_mktsegment"] + L.META_COLUMNS
     incoming = raw.withColumn("c_name_upper", F.upper("c_name")).columns

@@ -17,6 +17,7 @@ RESULT_TYPES: dict[str, dict[str, str]] = {
     "D1_assess_batch": {"n_clauses": "BIGINT"},
     "D1_assess_forced_failure": {"n_clauses": "BIGINT"},
     "D1_assess_paused": {"n_clauses": "BIGINT"},
+    "D4_evidence_fields": {"n_clauses": "BIGINT"},
     "F10_canonical_json": {"payload_json": "VARCHAR"},
     "F3_cost_estimate": {"n_clauses": "BIGINT", "n_factors": "BIGINT"},
     "J1_aux_full_outer": {

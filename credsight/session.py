@@ -57,6 +57,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context: their Python workers unpickle
+    functions by module name and need not share the driver's working folder or path."""
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_credsight_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith((".py", ".txt")):
+                    at = os.path.join(folder, f)
+                    z.write(at, os.path.relpath(at, os.path.dirname(root)))
+    path = os.path.join(tempfile.mkdtemp(prefix="credsight-package-"), "credsight.zip")   # read by the driver alone
+    with open(path, "wb") as out:
+        out.write(held.getvalue())
+    sc.addPyFile(path)
+    sc._credsight_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A location under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)

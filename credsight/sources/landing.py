@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..session import materialize
+
 META_COLUMNS = ["_ingested_at", "_source_file", "_row_hash"]
 BOOL_WORDS = ["True", "False", "TRUE", "FALSE", "true", "false"]
 SQL_TYPE = {"BIGINT": "BIGINT", "DOUBLE PRECISION": "DOUBLE", "BOOLEAN": "BOOLEAN", "TEXT": "STRING"}
@@ -59,7 +61,7 @@ def csv_scan_raw(spark: SparkSession, path: str, multiline: bool = False) -> Dat
 def data_columns(df: DataFrame) -> list[str]:
     cols = [c for c in df.columns if not c.startswith("_")]
     if not cols:
-        raise ValueError("DataFrame has no data columns (all start with '_').")
+        raise ValueError(f"nothing to hash: every column is metadata ({df.columns})")
     return cols
 
 
@@ -128,11 +130,9 @@ def schema_drift(spark: SparkSession, existing: list[str], incoming: list[str],
     dropped = F.sort_array(F.array_except(db, src))
     kinds = F.array(
         F.struct(F.lit("new_columns").alias("kind"), new_cols.alias("columns"),
-                 F.format_string("[SCHEMA DRIFT] %s: source has new columns not in the table: %s",
-                                 F.lit(table), F.array_join(new_cols, ", ")).alias("warning")),
+                 F.format_string("%s lacks: %s", F.lit(table), F.array_join(new_cols, ", ")).alias("warning")),
         F.struct(F.lit("dropped_columns").alias("kind"), dropped.alias("columns"),
-                 F.format_string("[SCHEMA DRIFT] %s: table has columns absent from the source: %s",
-                                 F.lit(table), F.array_join(dropped, ", ")).alias("warning")))
+                 F.format_string("%s alone has: %s", F.lit(table), F.array_join(dropped, ", ")).alias("warning")))
     return df.select(F.inline(kinds)).filter(F.size("columns") > 0)
 
 
@@ -154,21 +154,24 @@ def new_rows(batch: DataFrame, target: DataFrame, dedupe_batch: bool = False) ->
     return b.join(target.select("_row_hash"), "_row_hash", "left_anti").select(*batch.columns)
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, None where there is none yet; any other failure to read it is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def land_incremental(batch: DataFrame, path: str, source_file: str, dedupe_batch: bool = False) -> dict:
     """Append only unseen rows.  The new rows are staged to a separate folder
     first (the target is also an input of the plan), then appended."""
     spark = batch.sparkSession
     staged = add_metadata(batch, source_file)
-    try:
-        target = spark.read.parquet(path)
-    except AnalysisException as e:              # only a target that isn't there yet counts as empty
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        target = None
+    target = stored(spark, path)
     fresh = staged if target is None else new_rows(staged, target, dedupe_batch)
-    stage_path = path.rstrip("/") + "__staging"
-    fresh.write.mode("overwrite").parquet(stage_path)
-    stage = spark.read.parquet(stage_path)
+    stage = materialize(fresh, "landing-stage")     # a folder per load: two loads never share one
     loaded, attempted = stage.count(), batch.count()
     stage.write.mode("append").parquet(path)
     return {"rows_attempted": attempted, "rows_loaded": loaded, "rows_skipped": attempted - loaded, "rows_rejected": 0}
@@ -220,12 +223,11 @@ def union_rejects(parts: list[DataFrame]) -> DataFrame:
 # ------------------------------------------------------------------ S9 / S11
 
 def cached_parquet(spark: SparkSession, path: str, build, force: bool = False) -> DataFrame:
-    """Read the table at ``path``; (re)build it with ``build()`` when absent or forced."""
-    if not force:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
+    """Read the table at ``path``; (re)build it with ``build()`` when absent or forced.  A
+    table that is there but can't be read is an error, never rebuilt over."""
+    found = None if force else stored(spark, path)
+    if found is not None:
+        return found
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
