@@ -5,10 +5,10 @@ document of smaller id.  Equal windows share their smallest hash of ``ANCHOR``
 words, so the windows of a document are cut into runs of one such hash, and only
 runs whose hash occurs in two documents can hold a repeat.  These are
 gathered by hash into shards.  Each shard builds a compressed FM-index (wavelet
-matrix over the Burrows-Wheeler transform) of its distinct passages and
-streams them through it; the matching statistics tell which windows occur, and
-the interval of a match holds the smallest id.  Words covered by a
-repeated window are removed.
+matrix over the Burrows-Wheeler transform) of the passages that a document has
+before the last one of their hash, and streams all its passages through it: the matching
+statistics tell which windows reach the threshold of ``WINDOW`` words, and the interval
+of such a match holds the smallest id.  Words covered by a repeated window are removed.
 
 Defined cases: a null text has no words; texts of fewer than ``WINDOW`` words are
 kept; rows of equal id repeat nothing of one another; a row without id is kept
@@ -19,14 +19,15 @@ Scale: what is shuffled for all documents is one short row per run (about one pe
 20 words) and twice the texts (to fetch passages, to remove words); passages
 (with their words) only for hashes of two documents, each distinct one once.  The
 number of shards follows the number of passages.  A hash with more than
-``HOT_PASSAGES`` different passages is not gathered at all: its windows are
-compared by digest, pre-aggregated.
+``HOT_PASSAGES`` different passages would fill a shard of its own: its passages are cut
+finer, into single windows with a key each, and go through the same indexes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,8 +92,8 @@ def runs(docs: DataFrame) -> DataFrame:
 
 
 def passages(providers: DataFrame, docs: DataFrame) -> DataFrame:
-    """key, content, doc_id, hot, n and words (joined by one space) of each passage, cut out of its provider's text."""
-    wanted = providers.groupBy("row_key").agg(F.collect_list(F.struct("key", "content", "doc_id", "hot", "start", "n")).alias("cuts"))
+    """key, content, doc_id, provider, hot, n and words (joined by one space) of each passage, cut out of its first text."""
+    wanted = providers.groupBy("row_key").agg(F.collect_list(F.struct("key", "content", "doc_id", "provider", "hot", "start", "n")).alias("cuts"))
     texts = docs.select(C.row_key("doc_id", "text").alias("row_key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,58 +102,85 @@ def passages(providers: DataFrame, docs: DataFrame) -> DataFrame:
                 out = []
                 for cuts, text in zip(b.column(0).to_pylist(), C.texts_of(b)):
                     words = _FIND(text)
-                    out += [(c["key"], c["content"], c["doc_id"], c["hot"], c["n"], " ".join(words[c["start"]:c["start"] + c["n"] + WINDOW - 1]))
+                    out += [(c["key"], c["content"], c["doc_id"], c["provider"], c["hot"], c["n"], " ".join(words[c["start"]:c["start"] + c["n"] + WINDOW - 1]))
                             for c in cuts]
-                cols = list(zip(*out)) or [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.string()]
+                cols = list(zip(*out)) or [[]] * 7
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                                 names=["key", "content", "doc_id", "hot", "n", "words"])
+                                                 names=["key", "content", "doc_id", "provider", "hot", "n", "words"])
 
     return texts.join(wanted, "row_key").select("cuts", "text").mapInArrow(
-        run, "key bigint, content bigint, doc_id bigint, hot boolean, n int, words string")
+        run, "key bigint, content bigint, doc_id bigint, provider boolean, hot boolean, n int, words string")
 
 
 def _search(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each passage of a shard: stretches of windows (off, len) and the smallest id that holds them."""
+    """Streams the passages of a shard through the index of its providers: stretches of windows
+    (off, len) that reach the threshold, and the smallest id that holds them."""
+    rows = rows.sort_values("provider", ascending=False, kind="stable")     # symbols of the index come first
     names: dict[str, int] = {}
     sequences = [np.array([names.setdefault(w, len(names) + 1) for w in t.split(" ")], dtype=np.int64) for t in rows.words]
-    index = FMIndex(sequences, rows.doc_id.to_numpy(), WINDOW)
+    held = int(rows.provider.sum())
+    index = FMIndex(sequences[:held], rows.doc_id.to_numpy()[:held], WINDOW)
     length, row, first = index.matching_statistics(sequences)
     n = rows.n.to_numpy().astype(np.int64)
-    at = np.repeat(first[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    assert (length[at] == WINDOW).all()            # each passage holds its own windows
-    low = index.group_owner[index.group[row[at]]]
     passage = np.repeat(np.arange(len(n)), n)
-    return _stretches(rows, passage, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), low)
+    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = first[passage] + off
+    found = length[at] >= WINDOW
+    passage, off = passage[found], off[found]
+    low = index.group_owner[index.group[row[at[found]]]]
+    return _stretches(rows, passage, off, low)
 
 
 def _stretches(rows: pd.DataFrame, passage: np.ndarray, off: np.ndarray, low: np.ndarray) -> pd.DataFrame:
-    head = np.flatnonzero(np.concatenate(([True], (passage[1:] != passage[:-1]) | (low[1:] != low[:-1])))[:len(low)])
+    new = (passage[1:] != passage[:-1]) | (low[1:] != low[:-1]) | (off[1:] != off[:-1] + 1)
+    head = np.flatnonzero(np.concatenate(([True], new))[:len(low)])
     size = np.diff(np.append(head, len(low)))
     p = passage[head]
-    return pd.DataFrame({"key": rows.key.to_numpy()[p], "content": rows.content.to_numpy()[p], "off": off[head].astype(np.int32),
-                         "len": size.astype(np.int32), "low": low[head]})
+    return pd.DataFrame({"key": rows.key.to_numpy()[p], "content": rows.content.to_numpy()[p], "fine": rows.fine.to_numpy()[p],
+                         "off": off[head].astype(np.int32), "len": size.astype(np.int32), "low": low[head]})
 
 
-FOUND = "key bigint, content bigint, off int, len int, low bigint"
+FOUND = "key bigint, content bigint, fine boolean, off int, len int, low bigint"
 
 
-def _hot_windows(hot: DataFrame) -> DataFrame:
-    """The same for passages of hot keys, by the digest of each window."""
+def _windows(hot: DataFrame) -> DataFrame:
+    """Each window of the passages of hot keys as a passage of its own: its words, its digest as
+    (fine_key, fine_content), and where it is (key, content, off)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                words = r["words"].split(" ")
-                out += [(hashlib.blake2b(" ".join(words[i:i + WINDOW]).encode(), digest_size=16).digest(), r["key"], r["content"], i, r["doc_id"])
-                        for i in range(r["n"])]
-            cols = list(zip(*out)) or [[]] * 5
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["digest", "key", "content", "off", "doc_id"])
+        for whole in batches:
+            for b in C.pieces(whole, "words", 20_000):              # a passage becomes up to WINDOW times as long
+                out = []
+                for r in b.to_pylist():
+                    words = r["words"].split(" ")
+                    for i in range(r["n"]):
+                        window = " ".join(words[i:i + WINDOW])
+                        out.append((*struct.unpack("<qq", hashlib.blake2b(window.encode(), digest_size=16).digest()),
+                                    r["key"], r["content"], i, r["doc_id"], r["provider"], window))
+                cols = list(zip(*out)) or [[]] * 8
+                kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.bool_(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
+                                                 names=["fine_key", "fine_content", "key", "content", "off", "doc_id", "provider", "words"])
+
+    return hot.mapInArrow(run, "fine_key bigint, fine_content bigint, key bigint, content bigint, off int, doc_id bigint, "
+                               "provider boolean, words string")
+
 
-    windows = hot.mapInArrow(run, "digest binary, key bigint, content bigint, off int, doc_id bigint")
-    low = windows.groupBy("digest").agg(F.min("doc_id").alias("low"))
-    return windows.join(low, "digest").select("key", "content", "off", F.lit(1).alias("len"), "low")
+def _found(cut: DataFrame) -> DataFrame:
+    """key, content, off, len and low of every stretch of windows found in an index."""
+    windows = _windows(cut.where("hot"))
+    fine = (windows.groupBy(F.col("fine_key").alias("key"), F.col("fine_content").alias("content"))
+            .agg(F.min("doc_id").alias("doc_id"), F.max("provider").alias("provider"), F.first("words").alias("words")))
+    names = ["key", "content", "doc_id", "provider", "n", "words", "fine"]
+    every = (cut.where("NOT hot").withColumn("fine", F.lit(False)).select(*names)
+             .unionByName(fine.withColumns({"n": F.lit(1), "fine": F.lit(True)}).select(*names)))
+    most = cut.agg(F.coalesce(F.sum(F.when(F.col("hot"), F.col("n")).otherwise(1)), F.lit(0))).first()[0]
+    shards = max(1, -(-most // SHARD_PASSAGES))
+    found = materialize(every.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(_search, FOUND), "found")
+    of_windows = found.where("fine").select(F.col("key").alias("fine_key"), F.col("content").alias("fine_content"), "low")
+    back = windows.select("fine_key", "fine_content", "key", "content", "off").join(of_windows, ["fine_key", "fine_content"])
+    return found.where("NOT fine").select("key", "content", "off", "len", "low").unionByName(
+        back.select("key", "content", "off", F.lit(1).alias("len"), "low"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -161,14 +189,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     every = runs(docs)
     shared = every.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     some = materialize(every.join(shared, "key"), "runs")
-    distinct = some.groupBy("key", "content").agg(F.min(F.struct("doc_id", "row_key", "start", "n")).alias("p"))
-    distinct = materialize(distinct.select("key", "content", "p.*"), "passage-places")
-    hot = distinct.groupBy("key").count().select("key", (F.col("count") > HOT_PASSAGES).alias("hot"))
-    cut = materialize(passages(distinct.join(hot, "key"), docs), "passages")
-    shards = max(1, -(-distinct.count() // SHARD_PASSAGES))
-    found = (cut.where("NOT hot").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-             .groupBy("shard").applyInPandas(_search, FOUND))
-    found = materialize(found.unionByName(_hot_windows(cut.where("hot"))), "found")
+    distinct = some.groupBy("key", "content").agg(F.min(F.struct("doc_id", "row_key", "start", "n")).alias("p"), F.max("doc_id").alias("last"))
+    distinct = materialize(distinct.select("key", "content", "p.*", "last"), "passage-places")
+    of_key = distinct.groupBy("key").agg((F.count("*") > HOT_PASSAGES).alias("hot"), F.max("last").alias("hi"))
+    places = distinct.join(of_key, "key").withColumn("provider", F.col("doc_id") < F.col("hi"))
+    found = _found(materialize(passages(places, docs), "passages"))
     spans = (some.join(found, ["key", "content"]).where("low < doc_id")
              .select("row_key", F.struct((F.col("start") + F.col("off")).alias("first"),
                                          (F.col("start") + F.col("off") + F.col("len") + WINDOW - 1).alias("end")).alias("span")))

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -64,6 +65,29 @@ def test_as_brute_force(docs_of, monkeypatch, hot, shard):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out) == brute(rows)
 
 
+def shard(*rows):
+    return pd.DataFrame([(i, i + 100, d, provider, t, len(t.split(" ")) - 49, False) for i, (d, provider, t) in enumerate(rows)],
+                        columns=["key", "content", "doc_id", "provider", "words", "n", "fine"])
+
+
+def test_the_index_decides(monkeypatch):
+    words = [f"w{i}" for i in range(200)]
+    a, b = " ".join(words[:60]), " ".join(words[5:70])
+    rows = shard((9, False, b), (1, True, a), (4, True, " ".join(words[100:150])))
+    got = S._search(rows)                           # windows 0-5 of b are windows 5-10 of a, the other ten are its own
+    assert {(r.key, r.off, r.len, r.low) for r in got.itertuples()} == {(0, 0, 6, 1), (1, 0, 11, 1), (2, 0, 1, 4)}
+    seen = []
+
+    class Silent(FMIndex):
+        def matching_statistics(self, queries):
+            seen.append((self.n, len(queries)))
+            length, row, first = super().matching_statistics(queries)
+            return np.minimum(length, 49), row, first
+
+    monkeypatch.setattr(S, "FMIndex", Silent)
+    assert len(S._search(rows)) == 0 and seen == [(61 + 51, 3)]     # only providers are indexed, all are streamed
+
+
 def test_empty(docs_of):
     assert S.remove_repeats(docs_of([(1, "a")]).limit(0)).count() == 0
 
