@@ -311,9 +311,9 @@ def keep_one(docs: DataFrame, judged: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     grouped = judged.where("component IS NOT NULL").groupBy("component").agg(F.min_by("row_key", first).alias("_kept_key"))
     empty = judged.where("component IS NULL").select(F.col("row_key").alias("_kept_key")).distinct()
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), C.row_key("doc_id", "text").alias("_kept_key"))
+    named = C.packed(docs, _kept_key=C.row_key("doc_id", "text"))
     kept = named.join(grouped.select("_kept_key").unionByName(empty), "_kept_key").dropDuplicates(["_kept_key"])
-    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    return C.unpacked(kept, docs.columns)
 
 
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

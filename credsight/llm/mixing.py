@@ -152,10 +152,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.  Rows equal in id, source
     and text are one document whose copies add up."""
-    keyed = docs.withColumn("_rk", C.row_key("doc_id", "source", "text"))
+    keyed = C.packed(docs, _rk=C.row_key("doc_id", "source", "text"))
     n = mixed.where("copies > 0").groupBy(F.col("row_key").alias("_rk")).agg(F.sum("copies").cast("int").alias("_copies"))
-    return (keyed.join(n, "_rk").dropDuplicates(["_rk"])
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns))
+    taken = keyed.join(n, "_rk").dropDuplicates(["_rk"]).select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return C.unpacked(taken, docs.columns)
 
 
 def op9_source_mix(spark, sf_dir: str) -> DataFrame:

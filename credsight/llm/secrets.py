@@ -108,12 +108,13 @@ class BlobLedger:
         todo.select("blob", "rules", F.concat(*found).alias("found")).write.mode("append").parquet(self.path)
 
     def findings(self) -> DataFrame:
-        """blob and spans (sorted by start, then rule) for the current rule versions."""
+        """blob and spans (sorted by start, then rule) for the current rule versions; a pair that two
+        runs scanned at once counts once."""
         rows = self.read()
         current = F.array(*[F.lit(rule_id(r)) for r in self.rules])
         by_kind = F.filter("found", lambda s: F.exists(F.array_intersect("rules", current),
                                                        lambda r: F.startswith(r, F.concat(s.kind, F.lit("@")))))
-        return rows.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(by_kind))).alias("spans"))
+        return rows.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(by_kind)))).alias("spans"))
 
     def run(self, docs: DataFrame, keep: list[str]) -> DataFrame:
         """The columns ``keep`` of every row of ``docs``, its blob, and the blob's spans."""

@@ -83,12 +83,12 @@ def runs(docs: DataFrame) -> DataFrame:
                 content = C.mix((pref[a + size + WINDOW - 1] - pref[a]) * q[a] + size.astype(C.U64))
                 t = text[head]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(b.column(0).to_numpy()[t]), pa.array(b.column(1).to_numpy()[t]), pa.array(inside[head].astype(np.int32)),
+                    [b.column(0).take(pa.array(t)), b.column(1).take(pa.array(t)), pa.array(inside[head].astype(np.int32)),
                      pa.array(size.astype(np.int32)), pa.array(key[head].view(np.int64)), pa.array(content.view(np.int64))],
                     names=["row_key", "doc_id", "start", "n", "key", "content"])
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(C.row_key("doc_id", "text").alias("row_key"), "doc_id", "text")
-    return rows.mapInArrow(run, "row_key bigint, doc_id bigint, start int, n int, key bigint, content bigint")
+    return rows.mapInArrow(run, "row_key binary, doc_id bigint, start int, n int, key bigint, content bigint")
 
 
 def passages(providers: DataFrame, docs: DataFrame) -> DataFrame:
