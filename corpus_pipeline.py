@@ -38,15 +38,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ledger = secrets.BlobLedger(spark, fresh_scratch(spark, "secret-ledger"))
-    keyed = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256))
-    ledger.scan(keyed.select(F.col("_blob").alias("blob"), F.coalesce("text", F.lit("")).alias("text")))
-    found = ledger.findings().where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("_spans")))
-    out = keyed.join(found, "_blob", "left").withColumn("text", text)
+    keyed = common.packed(docs, blob=F.sha2(F.coalesce("text", F.lit("")), 256))
+    ledger.scan(keyed.select("blob", F.coalesce("_row.text", F.lit("")).alias("text")))
+    found = ledger.findings().where(F.size("spans") > 0)
+    old = F.col("_row.text")
+    text = F.when(F.col("spans").isNull(), old).otherwise(secrets.redact(old, F.col("spans")))
+    out = keyed.join(found, "blob", "left").withColumn("text", text)
+    made = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         changed = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(changed))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.when(F.col("spans").isNull(), F.col("_row")["n_chars"]).otherwise(changed)
+    return out.select(*[made.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
