@@ -10,13 +10,13 @@ confirmed when the paragraph contains ``CONFIRM`` of the word pairs of one of th
 family's templates.  Joined lines are also found, and confirmed, for a family that
 isn't the predicted one, when they contain all pairs of a template of ``LONG`` pairs.
 
-Joined lines add what their lines don't tell: a confirmed family that no line
-confirms (it replaces the likely ones of its lines), or a likely one where no line
-has any finding.
+Joined lines add what their lines don't tell: a family confirmed by a longer template
+than any line confirms it by (it replaces those of its lines: a wrapped notice whose
+name stands in one line), or a likely one where no line has any finding.
 
-The model is trained here on the templates and paragraphs made from them by rule
-(kept whole, cut, framed, shuffled into nonsense, taken as single words), some
-hundred rows whatever the input.  The fitted weights say which paragraphs can't
+The model is trained here on the templates, on notices around the licences' names, and
+on paragraphs made from them by rule (kept whole, cut, framed, shuffled into nonsense,
+taken as single words), a few thousand rows whatever the input.  The fitted weights say which paragraphs can't
 reach a family: without any of the ``needed`` words and word pairs, all the n-grams
 that remain, together, leave every family under the threshold.  Text without any of
 them is left out by one expression, with the result of scoring it all.
@@ -59,16 +59,30 @@ TEMPLATES = {
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0",
                    "Apache License Version 2.0, January 2004",
+                   "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements",
+                   "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS basis",
                    "You may not use this file except in compliance with the License. You may obtain a copy of the License"],
     "bsd": ["Licensed under the BSD 3-Clause License.", "Released under the BSD license.", "SPDX-License-Identifier: BSD-3-Clause",
             "BSD-licensed.", "The code is BSD-licensed.",
-            "Redistribution and use in source and binary forms, with or without modification, are permitted"],
+            "Redistribution and use in source and binary forms, with or without modification, are permitted",
+            "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+            "SPDX-License-Identifier: BSD-2-Clause"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.", "Released under the GNU GPL version 2 or later.",
-            "SPDX-License-Identifier: GPL-3.0-or-later", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
-            "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+            "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+            "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+            "You should have received a copy of the GNU General Public License along with this program"],
     "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
     "agpl": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License", "SPDX-License-Identifier: EPL-2.0"],
+    "eupl": ["Licensed under the European Union Public Licence, version 1.2", "SPDX-License-Identifier: EUPL-1.2"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+            "SPDX-License-Identifier: ISC"],
+    "zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable",
+             "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+             "SPDX-License-Identifier: Zlib"],
+    "boost": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+              "SPDX-License-Identifier: BSL-1.0"],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.",
             "Creative Commons Attribution 4.0 International"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -81,6 +95,24 @@ TEMPLATES = {
     "all-rights": ["All rights reserved.", "Copyright. All rights reserved.", "Proprietary and confidential. All rights reserved.",
                    "No part of this publication may be reproduced without prior written permission of the publisher."],
 }
+# What a licence is called, and what stands around its name in a notice.
+NAMES = {
+    "mit": ["MIT License", "Expat License"],
+    "apache-2.0": ["Apache License", "Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 license"],
+    "bsd": ["BSD License", "Modified BSD License", "New BSD License", "BSD 2-Clause License", "3-clause BSD license", "BSD-style license"],
+    "gpl": ["GNU General Public License", "GNU GPL", "GPL", "GPL, version 3", "GPLv2", "GPLv3", "GPL v2"],
+    "lgpl": ["GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL", "LGPL", "LGPL, version 3", "LGPLv2.1", "LGPLv3"],
+    "agpl": ["GNU Affero General Public License", "GNU AGPL", "AGPL", "AGPL, version 3", "AGPLv3"],
+    "mpl-2.0": ["Mozilla Public License", "Mozilla Public License, Version 2.0", "MPL 2.0"],
+    "epl": ["Eclipse Public License", "Eclipse Public License 2.0", "EPL 2.0"],
+    "eupl": ["European Union Public Licence", "EUPL", "EUPL 1.2"],
+    "isc": ["ISC License", "ISC licence"],
+    "zlib": ["zlib License", "zlib/libpng license"],
+    "boost": ["Boost Software License", "Boost Software License, Version 1.0"],
+}
+TITLES = ["{}", "{}", "The {}", "License: {}"]
+NOTICES = ["Licensed under the {}.", "Released under the {}.", "Distributed under the terms of the {}.", "This library is available under the {}.",
+           "You may use it under the {} or not at all.", "The source code is subject to the {}.", "Copying is permitted by the {}"]
 FRAMES = ["{}", "{}", "Note: {}", "This file: {}", "{} See the file for details.", "(c) The authors. {}"]
 OTHERS = ["The driver showed a licence to the officer.", "She asked for permission to leave the room.", "A table was reserved for four people.",
           "The warranty of the car ends in May.", "He lost his fishing license near the lake.", "Permission was denied by the council.",
@@ -89,7 +121,11 @@ OTHERS = ["The driver showed a licence to the officer.", "She asked for permissi
           "Licensing fees rose again this year.", "The pub lost its license after the complaint.", "Rights were reserved to the states by the amendment.",
           "No license plate was found at the scene.", "Your warranty does not cover water damage.", "The planning permission expired last week.",
           "Er kam mit der Bahn und ging mit dem Hund nach Hause.", "She studied at MIT and works in the public sector.",
-          "The public domain name was sold.", "A creative person is free to work under this version of the plan."]
+          "The public domain name was sold.", "A creative person is free to work under this version of the plan.",
+          "The nurse is licensed under the supervision of a doctor.", "He was released under the terms of the bail.", "Food was distributed under the terms of the treaty.",
+          "The library is available under the bridge.", "You may use it under the table or not at all.", "The source code is subject to the review of the team.",
+          "Copying is permitted by the teacher.", "The eclipse was seen by the public of the European Union.", "The boost in software sales made the general happy.",
+          "The general public has no license.", "Apache helicopters were released.", "A public license was issued to the Union.", "A license of version 2.0 of the software."]
 
 
 def tokens(line: Column) -> Column:
@@ -116,6 +152,7 @@ def _words(line: str) -> list[str]:
 def training_rows(seed: int = SEED) -> list[tuple[str, str, bool]]:
     """(line, family, held out) made from the templates by rule."""
     rng, rows = random.Random(seed), []
+    called = [f" {' '.join(_words(name))} " for names in NAMES.values() for name in names]
     for family, lines in TEMPLATES.items():
         for line in lines:
             for frame in FRAMES:
@@ -126,13 +163,18 @@ def training_rows(seed: int = SEED) -> list[tuple[str, str, bool]]:
             for _ in range(6 * (len(words) > 3)):    # the same words out of order are no licence
                 for _ in range(40):
                     rng.shuffle(words)
-                    if not pairs & set(zip(words, words[1:])):
-                        rows.append((" ".join(words[: max(2, len(words) // 2)]), OTHER))
+                    some = " ".join(words[: max(2, len(words) // 2)])
+                    if not pairs & set(zip(words, words[1:])) and not any(x in f" {some} " for x in called):
+                        rows.append((some, OTHER))
                         break
             if len(line.split()) > 8:
                 rows.append((" ".join(line.split()[: len(line.split()) * 3 // 4]), family))
+    rows += [(x, family) for family, names in NAMES.items() for name in names
+             for notice in NOTICES + TITLES
+             for x in (notice.format(name), notice.format(name).lower().rstrip("."))]
     rows += [(frame.format(x), OTHER) for x in OTHERS for frame in FRAMES] + [("", OTHER)] * 40
-    words = sorted({w for lines in TEMPLATES.values() for line in lines for w in _words(line)})
+    own = {w for names in NAMES.values() for name in names if len(_words(name)) == 1 for w in _words(name)}    # they mean nothing else
+    words = sorted({w for told in (TEMPLATES, NAMES) for lines in told.values() for line in lines for w in _words(line)} - own)
     rows += [(w, OTHER) for w in words]         # nor is a word alone, any number of them, or a pair that families share
     shared = Counter(p for lines in TEMPLATES.values() for p in {p for line in lines for p in zip(_words(line), _words(line)[1:])})
     common = set(stop_words())                  # and what has only stop words is none either
@@ -222,9 +264,10 @@ def fit(spark: SparkSession, seed: int = SEED) -> Scanner:
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    rows = [(f, line) for f, lines in TEMPLATES.items() for line in lines]
+    rows = [(f, line) for told in (TEMPLATES, NAMES) for f, lines in told.items() for line in lines]
+    rows += [(f, f"the {name}") for f, names in NAMES.items() for name in names if len(_words(name)) == 1]
     t = with_grams(spark.createDataFrame(rows, "template_family string, line string").coalesce(1))
-    return t.select("template_family", F.array_distinct("pairs").alias("template_pairs"))
+    return t.where(F.size("pairs") > 0).select("template_family", F.array_distinct("pairs").alias("template_pairs"))
 
 
 def paragraphs(docs: DataFrame, possible: Callable[[Column], Column]) -> DataFrame:
@@ -265,13 +308,16 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
              .where(predicted | (F.col("similarity") == 1))
              .withColumn("probability", F.element_at("chances", F.array_position(named, F.col("template_family")).cast("int")))
              .groupBy("row_key", "block", "paragraph", "joined", F.col("template_family").alias("family"))
-             .agg(F.max("probability").alias("probability"), F.max("similarity").alias("similarity"))
+             .agg(F.max("probability").alias("probability"), F.max("similarity").alias("similarity"),
+                  F.max(F.when(F.col("similarity") >= CONFIRM, F.size("template_pairs"))).alias("_told"))
              .withColumn("confirmed", F.col("similarity") >= CONFIRM))
     block = Window.partitionBy("row_key", "block")
     same = Window.partitionBy("row_key", "block", "family")
     joined, sure = F.col("joined"), F.col("confirmed")
-    found = found.withColumns({"_line": F.max(~joined).over(block), "_line_sure": F.max(~joined & sure).over(same), "_joined_sure": F.max(joined & sure).over(same)})
-    stays = F.when(joined, F.when(sure, ~F.col("_line_sure")).otherwise(~F.col("_line"))).otherwise(sure | F.col("_line_sure") | ~F.col("_joined_sure"))
+    most = F.coalesce(F.max(F.when(~joined & sure, F.col("_told"))).over(same), F.lit(0))
+    whole = F.coalesce(F.max(F.when(joined & sure, F.col("_told"))).over(same), F.lit(0))
+    found = found.withColumns({"_line": F.max(~joined).over(block), "_longer": whole > most})
+    stays = F.when(joined, F.when(sure, F.col("_longer")).otherwise(~F.col("_line"))).otherwise(~F.col("_longer"))
     return found.where(stays).select("row_key", "paragraph", "family", "probability", "similarity", "confirmed")
 
 

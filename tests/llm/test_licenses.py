@@ -1,4 +1,7 @@
+import re
+
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +99,76 @@ def test_lines_and_numbers(docs_of, scanner):
     text = "\n\n12\tx\nAll rights reserved.\n" + WRAPPED["mit"] + "\n\n\t\nReleased under the MIT License.\nReleased under the\nBSD license."
     found = [(r.paragraph, r.family) for r in L.scan(docs_of([(1, text), (1, text)]), scanner).collect() if r.confirmed]
     assert sorted(found) == [(2, "mit"), (3, "all-rights"), (9, "bsd"), (9, "mit")]
+
+
+# Wordings that no training row has.
+UNSEEN = ["It is free software under the {}", "Use of this source code is governed by the {} that can be found here.",
+          "See the file COPYING for the terms of the {}.", "We publish this module under the {}, as before.", "Terms: the {}"]
+KNOWN = {
+    "mpl-2.0": "Mozilla Public License Version 2.0",
+    "apache-2.0": "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file",
+    "bsd": "Distributed under the terms of the Modified BSD License",
+    "gpl": "It is free software under the GPL, version 3 or later",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that",
+    "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "epl": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "boost": "Distributed under the Boost Software License, Version 1.0. (See accompanying file", "eupl": "SPDX-License-Identifier: EUPL-1.2"}
+
+
+def test_unseen_wordings(spark, scanner):
+    """Names inside wordings that training never saw, and prose that has the words of both."""
+    rows = [(x.format(name), family) for family, names in L.NAMES.items() for name in names for x in UNSEEN]
+    assert not {t for t, _ in rows} & {line for line, _, _ in L.training_rows()}
+    rows += [(t, f) for f, t in KNOWN.items()]
+    prose = ["The general public saw the eclipse.", "A boost for the European Union and its public.", "She drove under the bridge with a new license.",
+             "The source of the river is subject to review.", "Mozilla is a browser maker.", "He was granted permission to use the pool.", "Apache and Mozilla are foundations.",
+             "This program is about public health.", "The distribution of the software was a success.", "The terms of the treaty were published as before."]
+    rows += [(t, L.OTHER) for t in prose]
+    out = scanner.classify(L.with_grams(spark.createDataFrame(rows, "line string, want string").coalesce(1))).select("line", "want", "family").collect()
+    known = [r for r in out if r.want != L.OTHER]
+    wrong = [(r.line, r.family) for r in known if r.family != r.want]
+    assert len(wrong) <= 0.05 * len(known), wrong
+    false = [(r.line, r.family) for r in out if r.want == L.OTHER != r.family]
+    assert len(false) <= 1, false
+    assert not [x for x in wrong if x[0] in KNOWN.values()]
+
+
+def test_known_notices_are_confirmed(docs_of, scanner):
+    docs = docs_of([(i, "Some prose.\n\n" + t) for i, t in enumerate(KNOWN.values())])
+    found = L.scan(docs, scanner).collect()
+    assert sorted(r.family for r in found if r.confirmed) == sorted(KNOWN) and {r.paragraph for r in found} == {2}
+
+
+def brute_scan(text, scanner):
+    """(paragraph, family) of confirmed lines of a text without joined lines, by plain loops over the fitted weights."""
+    names = {g: i for i, g in enumerate(scanner.vector.vocabulary)}
+    w, b = scanner.regression.coefficientMatrix.toArray(), scanner.regression.interceptVector.toArray()
+    templates = [(f, x) for told in (L.TEMPLATES, L.NAMES) for f, lines in told.items() for x in lines]
+    templates += [(f, f"the {x}") for f, lines in L.NAMES.items() for x in lines if len(L._words(x)) == 1]
+    out = []
+    for i, line in enumerate(text.split("\n")):
+        t = re.findall(r"[^\W_]+(?:\.[^\W_]+)*", line.lower())
+        grams = {" ".join(t[j:j + n]) for n in (1, 2, 3) for j in range(len(t) - n + 1)}
+        z = b + w[:, [names[g] for g in grams if g in names]].sum(axis=1)
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        family = scanner.families[int(p.argmax())]
+        if family == L.OTHER or p.max() < scanner.threshold:
+            continue
+        for f, x in templates:
+            x = re.findall(r"[^\W_]+(?:\.[^\W_]+)*", x.lower())
+            pairs = set(zip(x, x[1:]))
+            if f == family and pairs and len(pairs & set(zip(t, t[1:]))) >= L.CONFIRM * len(pairs):
+                out.append((i, family))
+                break
+    return out
+
+
+def test_scan_by_brute_force(docs_of, scanner):
+    """Vectoriser, score and confirmation, line by line (an empty line parts all lines, so that none are joined)."""
+    lines = [line for line, _, held in L.training_rows() if held and line.strip()]
+    texts = ["\n\n".join(lines[i::40]) for i in range(40)]
+    docs = docs_of(list(enumerate(texts)))
+    key = {r.k: r.doc_id for r in docs.select("doc_id", L.C.row_key("doc_id", "text").alias("k")).collect()}
+    got = sorted((key[r.row_key], r.paragraph, r.family) for r in L.scan(docs, scanner).collect() if r.confirmed)
+    assert got == sorted((i, *x) for i, t in enumerate(texts) for x in brute_scan(t, scanner)) and len(got) > 200
