@@ -44,6 +44,7 @@ from . import common as C
 TABLES, OCCUPANCY, PROBED, SEED = 8, 4, 8.0, 20_240_613
 CELL_BITS = 12                       # a cell is 4096 neighbouring codes: about 16 000 vectors
 BLOCK, SPLITS = 65_536, 100_000
+ROOM = 1 << 20                       # codes held at a time while a batch is hashed: 8 MB an array
 
 
 class Hasher:
@@ -60,6 +61,9 @@ class Hasher:
         rng = np.random.default_rng([seed, dim])
         self.signs = rng.choice([-1.0, 1.0], (tables, len(self.bits), 3, self.width))
         self.cell = min(bits, CELL_BITS)
+        # most codes that one vector has at a time; as many vectors are hashed together as fit into ROOM codes
+        widest = max(min(self.probes, 1 << sum(self.bits[:i])) << b for i, b in enumerate(self.bits))
+        self.filed_rows, self.probed_rows = max(1, ROOM // (2 * self.width)), max(1, ROOM // widest)
 
     def sides(self, unit: np.ndarray, table: int, level: int) -> np.ndarray:
         """Coordinates along every signed axis of one rotation."""
@@ -153,15 +157,20 @@ def _cells(rows: DataFrame, n: int, hashed) -> DataFrame:
             sizes = np.asarray(batch.column(1).value_lengths())
             for dim in np.unique(sizes).tolist():
                 same = batch.take(pa.array(np.flatnonzero(sizes == dim)))
-                hasher = hashers.setdefault(dim, Hasher(dim, n))
-                units = unit(_matrix(same.column(1)))
-                for table in range(hasher.tables):
-                    row, cell, codes = hashed(hasher, units, table)
-                    at = pa.array(row)
-                    yield pa.RecordBatch.from_arrays(
-                        [c.cast(f.type) for c, f in zip(
-                            [pa.array(np.full(len(row), dim)), pa.array(np.full(len(row), table)), pa.array(cell), codes,
-                             same.column(0).take(at), same.column(1).take(at)], arrow)], schema=arrow)
+                if dim not in hashers:
+                    hashers[dim] = Hasher(dim, n)
+                hasher = hashers[dim]
+                step = hasher.probed_rows if hashed is _probed else hasher.filed_rows
+                for start in range(0, len(same), step):
+                    some = same.slice(start, step)
+                    units = unit(_matrix(some.column(1)))
+                    for table in range(hasher.tables):
+                        row, cell, codes = hashed(hasher, units, table)
+                        at = pa.array(row)
+                        yield pa.RecordBatch.from_arrays(
+                            [c.cast(f.type) for c, f in zip(
+                                [pa.array(np.full(len(row), dim)), pa.array(np.full(len(row), table)), pa.array(cell), codes,
+                                 some.column(0).take(at), some.column(1).take(at)], arrow)], schema=arrow)
 
     return rows.select("gid", "vec").mapInArrow(run, schema)
 
@@ -190,14 +199,15 @@ def _nearest(k: int):
     """The ``k`` nearest vectors of a block for each query that visits it, by exact cosine
     (ties to the smaller id), among those in the buckets it probes."""
     def search(queries: pd.DataFrame, filed: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"qid": [], "gid": [], "score": []})
         if not len(queries) or not len(filed):
-            return pd.DataFrame({"qid": [], "gid": [], "score": []})
+            return none
         code = np.array([c[0] for c in filed["codes"]])
         order = np.argsort(code, kind="stable")
         code, gid = code[order], filed["gid"].to_numpy()[order]
         vec = np.stack(filed["vec"].to_numpy()).astype(np.float64)[order]
         units = unit(vec)
-        out = []
+        out: list[tuple] = []                             # three arrays a query: frames of a few rows each weigh kilobytes
         for qid, q, codes in zip(queries["gid"], queries["vec"], queries["codes"]):
             q = np.asarray(q, dtype=np.float64)[None, :]
             low, high = np.searchsorted(code, codes), np.searchsorted(code, codes, side="right")
@@ -210,8 +220,8 @@ def _nearest(k: int):
                 at = at[near >= np.partition(near, len(at) - k)[len(at) - k] - 1e-9]
             score = cosines(vec[at], np.broadcast_to(q, (len(at), q.shape[1])))
             best = np.lexsort((gid[at], -score))[:k]
-            out.append(pd.DataFrame({"qid": qid, "gid": gid[at][best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": [], "gid": [], "score": []})
+            out.append((np.full(len(best), qid), gid[at][best], score[best]))
+        return pd.DataFrame(dict(zip(("qid", "gid", "score"), map(np.concatenate, zip(*out))))) if out else none
 
     return search
 
@@ -225,7 +235,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
     wanted = rows.where(is_query)
     with_gid = base.select("vec", "gid").join(wanted.groupBy("vec").agg(F.count(F.lit(1)).alias("n")), "vec")
     asked = materialize(C.join_unique(wanted, with_gid, ["vec"], "n"), "cp-queries")
-    probes = _cells(asked.select("gid", "vec").dropDuplicates(["gid"]), n, _probed)
+    # dealt out: probing costs far more a row than its few bytes suggest
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    probes = _cells(asked.select("gid", "vec").dropDuplicates(["gid"]).repartition(2 * cores), n, _probed)
 
     filed = _cells(base, n, _filed)
     sizes = materialize(filed.groupBy(*CELL).count(), "cp-sizes")

@@ -109,3 +109,17 @@ def test_codes_and_probes(n):
 def test_transform_is_orthonormal():
     eye = cp.hadamard(np.eye(8))
     assert np.allclose(eye @ eye.T, np.eye(8)) and np.allclose(np.abs(eye), 8 ** -0.5)
+
+
+def test_a_batch_is_hashed_in_slices(spark, monkeypatch):
+    """A whole batch of queries is never probed at once: an array of codes holds ROOM of them at most, with the same answer."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(3000)]
+    whole = found(cp.nearest(frame(spark, rows), F.col("vec_id") % 50 == 0))
+    for n in (3000, 615_000, 20_000_000):
+        h = cp.Hasher(64, n)
+        widest = max(min(h.probes, 1 << sum(h.bits[:i])) << b for i, b in enumerate(h.bits))
+        assert h.probed_rows == max(1, cp.ROOM // widest) and h.probed_rows * widest <= max(cp.ROOM, widest)
+    monkeypatch.setattr(cp, "ROOM", 1 << 12)
+    assert cp.Hasher(16, 3000).probed_rows < 60
+    assert found(cp.nearest(frame(spark, rows), F.col("vec_id") % 50 == 0)) == whole
