@@ -138,3 +138,12 @@ def test_only_trusted_labels(spark, docs_of):
     df = docs_of([(i, " ".join(rng.choice([f"w{k}" for k in range(80)], 70))) for i in range(40)])
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id bigint, quality int, toxic int")
     assert Q.score(df, Q.fit(df, labels), keep=["doc_id"]).where("kept").count() == 40
+
+
+def test_every_label_counts(spark):
+    """More labels than any sample would hold: all are used, whatever their number."""
+    n = 50_000
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    both = spark.createDataFrame([(1, 0), (None, 1), (n + 1, None)], "doc_id bigint, quality int")
+    got = Q.labelled(labels.unionByName(both)).groupBy("trusted").count().collect()
+    assert {r.trusted: r["count"] for r in got} == {True: n // 2 - 1, False: n // 2 + 1}
