@@ -68,3 +68,23 @@ def test_association_of_few_pairs(spark):
     df = spark.createDataFrame([("p", "q", 1), (None, "q", 2), ("p", None, 2)] + [("p", "q", 3), ("r", "s", 3)] * 20, "x string, y string, g int")
     v = {r.g: r.cramers_v for r in FA.cramers_v(df, "x", "y", by=["g"]).collect()}
     assert v[1] == 0.0 and abs(v[3] - 1.0) < 0.05 and 2 not in v
+
+
+def test_index_moves_occurrences_once_and_packed(spark):
+    """Equal terms share a bucket, no occurrence is lost, and postings are divided by their clause's norm only when read."""
+    docs = spark.createDataFrame([(i, [f"w{j}" for j in range(i, i + 40)] + ["w1", "a b"]) for i in range(300)]
+                                 + [(None, ["w1", "w1"]), (7, []), (8, None)], "clause_id int, _terms array<string>")
+    got = RT.bucketed(docs, ["clause_id"], 5).withColumn("part", F.spark_partition_id())
+    want = docs.select("clause_id", F.explode("_terms").alias("term"))
+    assert got.select("clause_id", "term").exceptAll(want).count() == 0 and got.count() == want.count()
+    assert got.groupBy("term").agg(F.count_distinct("part").alias("n")).where("n > 1").count() == 0
+
+    c = spark.createDataFrame(CLAUSES + [(None, "a", "income proof"), (None, "b", "income proof"), (1, "a", "more income")],
+                              "clause_id int, scheme string, text string")
+    index = RT.tfidf_parts(c.withColumns({"clause_pos": F.col("clause_id"), "corpus_version": F.lit("v")}), extra=["scheme", "clause_pos"])
+    assert index.raw.where("head").count() == index.raw.select("term").distinct().count() == index[1].count()
+    per = {r.clause_id: r for r in index.summary().collect()}
+    read = index[0].groupBy("clause_id").agg(F.count("*").alias("n"), F.sum(F.col("weight") ** 2).alias("sq"), F.max("weight").alias("top")).collect()
+    assert {r.clause_id for r in read} == set(per) == {1, 2, 3, 4, None}
+    for r in read:
+        assert (r.n, round(r.sq, 9), round(r.top, 9)) == (per[r.clause_id].n_terms, 1.0, round(per[r.clause_id].max_weight, 9))
