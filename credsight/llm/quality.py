@@ -22,8 +22,8 @@ empty table.
 
 Scale: each task pre-aggregates its counts into at most ``BUCKETS`` rows.  The bucket
 table (``BUCKETS`` rows, whatever the input) is the only thing broadcast by force;
-label ids are joined as their size demands, and texts are shuffled only where there are too
-many of them to broadcast.
+up to ``SENT_IDS`` label ids are sent to the texts; where there are more, the texts are shuffled
+to them, so all labels count either way.
 """
 
 from __future__ import annotations
@@ -38,10 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField
 
+from ..session import materialize
 from . import common as C
 
 GRAM, BUCKETS, SMOOTH = 4, 1 << 16, 1.0
 LOST = 0.002
+SENT_IDS = 2_000_000                       # label ids that are broadcast: about 70 bytes each in a task's memory
 SCORE_STEP = 1e-4                          # scores are counted in steps of this to place the threshold
 MIN_WORDS, MOST_REPEATED = 50, 50          # base rules: fewest words, most percent of repeated words
 SYMBOLS = "#*$%&|<>"
@@ -170,7 +172,8 @@ def _held_out(marked: DataFrame, raw: np.ndarray, target: np.ndarray) -> DataFra
 def fit(docs: DataFrame, labels: DataFrame, lost: float = LOST) -> Ratio:
     """Fit both multinomials and the threshold; what comes to the driver is the bucket
     table (at most BUCKETS rows) and the scores of the labelled documents, counted by ``SCORE_STEP``."""
-    marked = docs.select("doc_id", "text").join(labelled(labels), "doc_id", "left")
+    ids = materialize(labelled(labels), "quality-labels")
+    marked = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left")
     rows = _counts(marked.withColumn("trusted", F.coalesce("trusted", F.lit(False)))).collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in rows:

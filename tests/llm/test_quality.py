@@ -147,3 +147,13 @@ def test_every_label_counts(spark):
     both = spark.createDataFrame([(1, 0), (None, 1), (n + 1, None)], "doc_id bigint, quality int")
     got = Q.labelled(labels.unionByName(both)).groupBy("trusted").count().collect()
     assert {r.trusted: r["count"] for r in got} == {True: n // 2 - 1, False: n // 2 + 1}
+
+
+def test_labels_sent_or_joined_agree(spark, monkeypatch):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("noise " * 60)).otherwise(
+        F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(70)), lambda i: F.concat(F.lit("word"), i + F.col("id"))))).alias("text"))
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 3 != 0).cast("int").alias("quality"))
+    sent = Q.fit(docs, labels)
+    monkeypatch.setattr(Q, "SENT_IDS", 0)
+    joined = Q.fit(docs, labels)
+    assert sent.threshold == joined.threshold and (sent.log_ratio == joined.log_ratio).all()
