@@ -27,8 +27,9 @@ with nothing; fewer than ``WORDS`` words form one shingle; repeated rows are
 documents of their own in one component; a null id never is the smallest unless
 its component has no other; an empty table gives an empty table.
 
-Scale: texts are read once for signatures and shuffled once to confirm links; only
-those of family members move on to their groups.  A key that holds a third of all
+Scale: texts are read once for signatures and once to confirm links; only those of family
+members are shuffled, to their keys and to their groups, unless there are more than
+``SENT_KEYS`` members: then all texts are shuffled to the keys once.  A key that holds a third of all
 nodes is pre-aggregated to its hub and joined by a join that Spark can split, and
 costs one comparison per node if its nodes are near the hub.  Inside a group a node
 is only compared with those not yet connected, so that a group of near copies costs
@@ -54,6 +55,7 @@ from . import common as C
 WORDS, PERCENT = 4, 80
 HASHES, CHUNKS, BITS, ERRORS = 48, 12, 16, 23
 BLOCK_ROWS, BLOCK_SHINGLES = 2000, 500_000
+SENT_KEYS = 2_000_000        # up to this many family members, their keys are sent to the texts
 _SALT = C.mix(np.arange(1, HASHES + 1, dtype=C.U64))
 _ODD = C.mix(np.arange(1001, HASHES + 1001, dtype=C.U64)) | C.U64(1)
 
@@ -242,6 +244,9 @@ def links(family: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges (a, b) that connect what is linked inside the families, confirmed on full sets."""
     texts = docs.select(C.row_key("doc_id", "text").alias("row_key"), "text")
     members = materialize(family.join(nodes.select("node", "row_key", "n_shingles"), "node"), "members")
+    if members.count() <= SENT_KEYS:              # texts of no family stay where they are; the joins below compare whole keys
+        sent = members.select(F.xxhash64("row_key").alias("_hash")).distinct()
+        texts = texts.join(F.broadcast(sent), F.xxhash64("row_key") == F.col("_hash"), "left_semi")
     blocks = F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)
     sizes = members.groupBy("family").agg(F.min("node").alias("hub"), blocks.alias("blocks"))
     zero = F.lit(0).cast("bigint")

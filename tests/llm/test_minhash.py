@@ -128,3 +128,23 @@ def test_keep_one_per_component_whatever_the_ids(docs_of):
     assert texts == sorted(["w0 w1", "a b c", "a b c", "", ""]) and [r.doc_id for r in rows if (r.text or "").startswith("w0")] == [1]
     lost = M.keep_one(docs.where("doc_id IS NULL"), M.near_duplicates(docs.where("doc_id IS NULL")))
     assert lost.count() == 3
+
+
+@pytest.mark.parametrize("most", [M.SENT_KEYS, 0])
+def test_only_texts_of_families_are_shuffled(docs_of, monkeypatch, most):
+    """The keys of the members go to the texts, whatever their number the components are the same."""
+    plans = []
+
+    def kept(df, name, **options):
+        if name == "links":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return materialize(df, name, **options)
+
+    materialize = M.materialize
+    monkeypatch.setattr(M, "materialize", kept)
+    monkeypatch.setattr(M, "SENT_KEYS", most)
+    rows = families() + [(9, None), (8, "")]
+    out = M.near_duplicates(docs_of(rows)).collect()
+    got = sorted((r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in out)
+    assert got == brute(rows)
+    assert plans and all(("LeftSemi" in p) == (most > 0) for p in plans)
