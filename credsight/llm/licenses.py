@@ -138,11 +138,12 @@ def _runs(tok: Column, n: int) -> Column:
 
 
 def with_grams(df: DataFrame) -> DataFrame:
-    """Columns pairs (2-grams) and grams (1- to 3-grams) of the column line."""
+    """Columns pairs (2-grams) and grams (1- to 3-grams) of the column line, made once: no later filter or
+    column repeats the work below a generator."""
     def made(tok: Column) -> Column:
         return C.let(_runs(tok, 2), lambda pairs: F.struct(pairs.alias("pairs"), F.concat(tok, pairs, _runs(tok, 3)).alias("grams")))
 
-    return df.withColumn("_made", C.let(tokens(F.col("line")), made)).withColumns({"pairs": F.col("_made.pairs"), "grams": F.col("_made.grams")}).drop("_made")
+    return df.withColumn("_made", F.explode(F.array(C.let(tokens(F.col("line")), made)))).withColumns({"pairs": F.col("_made.pairs"), "grams": F.col("_made.grams")}).drop("_made")
 
 
 def _words(line: str) -> list[str]:
@@ -235,7 +236,7 @@ class Scanner:
     def classify(self, lines: DataFrame) -> DataFrame:
         """Adds family, probability (of the best family, other included) and chances (of all) to rows with grams."""
         out = self.regression.transform(self.vector.transform(lines))
-        out = out.withColumn("_p", vector_to_array("probability"))
+        out = out.withColumn("_p", F.explode(F.array(vector_to_array("probability"))))      # once a row, as in with_grams
         named = F.array(*[F.lit(f) for f in self.families])
         best = F.array_max("_p")
         family = F.element_at(named, F.array_position("_p", best).cast("int"))
@@ -298,9 +299,12 @@ def paragraphs(docs: DataFrame, possible: Callable[[Column], Column]) -> DataFra
 def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """row_key, paragraph (number of its first line, from 0), family, probability, similarity and
     confirmed of every paragraph that a family is found for."""
-    spark = docs.sparkSession
+    templates = _templates(docs.sparkSession)         # a few dozen rows, fixed
+    told = F.array(*[F.lit(x) for x in sorted({x for r in templates.collect() for x in r.template_pairs})])
     scored = scanner.classify(with_grams(paragraphs(docs, scanner.possible()))).where((F.col("family") != OTHER) | F.col("joined"))
-    t = F.broadcast(_templates(spark))                # a few dozen rows, fixed
+    # a long paragraph is held against all pairs once, and its few known pairs against each template
+    scored = scored.withColumn("pairs", F.explode(F.array(F.array_intersect("pairs", told))))
+    t = F.broadcast(templates)
     predicted = F.col("family") == F.col("template_family")
     near = F.size(F.array_intersect("pairs", "template_pairs")) / F.size("template_pairs")
     named = F.array(*[F.lit(f) for f in scanner.families])

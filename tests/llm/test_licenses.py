@@ -172,3 +172,13 @@ def test_scan_by_brute_force(docs_of, scanner):
     key = {r.k: r.doc_id for r in docs.select("doc_id", L.C.row_key("doc_id", "text").alias("k")).collect()}
     got = sorted((key[r.row_key], r.paragraph, r.family) for r in L.scan(docs, scanner).collect() if r.confirmed)
     assert got == sorted((i, *x) for i, t in enumerate(texts) for x in brute_scan(t, scanner)) and len(got) > 200
+
+
+def test_paragraphs_are_tokenised_and_scored_once(docs_of, scanner):
+    """Filters on the scores don't repeat tokens and scores; a long paragraph meets the templates by its known pairs only."""
+    found = L.scan(docs_of([(1, "All rights reserved.\nReleased under the MIT License.")]), scanner)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2                  # of the paragraphs and of the templates
+    text = "some words of the terms " * 2000 + "\nThis work is licensed under the GNU General\nPublic License, version 3.\n" + "more prose " * 2000
+    rows = L.scan(docs_of([(1, text)]), scanner).collect()
+    assert [(r.paragraph, r.family, r.confirmed, r.similarity) for r in rows] == [(0, "gpl", True, 1.0)]
