@@ -1,5 +1,7 @@
 """Work of the decisions that is done once: metric maps, vocabulary look-ups, JSON texts."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from credsight.operators import audit as AU
@@ -29,18 +31,16 @@ def test_lists_of_queries_are_made_once_a_key(spark):
     parts = RT.tfidf_parts(book, extra=["scheme", "clause_pos"])
     asked = spark.createDataFrame([(7, "q1", "v", "x", "a loan of 12"), (7, "q2", "v", "x", "loan 99 red"), (8, "q3", "v", "y", "red"),
                                    (None, "q4", "v", "x", None)], "id long, query_id string, corpus_version string, scheme string, query string")
-    lists = {r["query_id"]: r for r in RT.retrieve_small_lists(asked, parts, keep=["id"]).join(asked.select("id", "query_id"), "id").collect()}
     rows = RT.retrieve_small_corpus(asked, parts).collect()
     got = RT.retrieve_small_lists(asked.withColumn("same", F.col("query_id")), parts, keep=["same"]).collect()
     for r in got:
         mine = sorted((x["rank"], x["clause_id"], x["score"]) for x in rows if x["query_id"] == r["same"] and not x["retrieval_failed"])
         assert [tuple(h) for h in r["hits"]] == mine and r["failed"] == (not mine)
     assert len(got) == 4 and "array_intersect" not in plan(RT._known_terms(asked, parts[1], "query_id", "corpus_version", "scheme", []))
-    assert lists
 
 
 def test_canonical_json_is_written_once(spark):
     df = spark.createDataFrame([("é\U0001F600", 1), ("a", None)], "t string, n int")
     got = df.select(AU.canonical_json({"t": F.col("t"), "n": F.col("n")}).alias("j"))
     assert [r[0] for r in got.collect()] == ['{"n":1,"t":"\\u00e9\\ud83d\\ude00"}', '{"n":null,"t":"a"}']
-    assert plan(got).count("to_json") == 1 or plan(got).count("struct<") <= 2
+    assert len(re.findall("to_json|structstojson", plan(got).lower())) == 1, plan(got)
